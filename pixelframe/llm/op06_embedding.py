@@ -144,7 +144,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     length = points.agg(F.max(F.size("v"))).first()[0] or 0
     # Pivots: a hash sample; of a small table perhaps none, which is one cell. Their number depends on how many blocks there are.
     few = max(1, min(pivots, total // max(1, block // 2)))
-    pivot = np.array([r["v"] for r in sample if len(r["v"]) == length][:few], np.float64).reshape(-1, length)
+    chosen = [r["v"] for r in sample if len(r["v"]) == length][:few]
+    pivot = np.array(chosen, np.float64).reshape(len(chosen), length)
     pivot /= np.maximum(np.sqrt((pivot * pivot).sum(1)), 1e-300)[:, None]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

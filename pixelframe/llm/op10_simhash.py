@@ -130,6 +130,8 @@ def large_key(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             values.append(v[take])
             who.append(np.flatnonzero(take))
         v, w = np.concatenate(values), np.concatenate(who)
+        if not len(v):
+            continue
         if place < 32:
             zero = np.flatnonzero(~side & ((other & np.uint32(passes - 1)) == part))
             order = zero[np.argsort(other[zero], kind="stable")]
