@@ -93,8 +93,8 @@ def pixel_edges(df: DataFrame, offsets: list[tuple[int, int]], linked=same, widt
 
 def bit_edges(df: DataFrame, bits: str, width: int) -> DataFrame:
     """Edges where a pixel's neighbour bits say so."""
-    parts = [F.when(F.col(bits).bitwiseAND(b) != 0, (F.col("y") + dy) * width + F.col("x") + dx) for (dy, dx), b in BITS.items()]
-    return df.select("image_id", (F.col("y") * width + F.col("x")).cast("long").alias("u"), F.explode(F.array_compact(F.array(*parts))).cast("long").alias("v"))
+    parts = [F.when(F.col(bits).bitwiseAND(b) != 0, ((F.col("y") + dy) * width + F.col("x") + dx).cast("long")) for (dy, dx), b in BITS.items()]
+    return df.select("image_id", (F.col("y") * width + F.col("x")).cast("long").alias("u"), F.explode(F.array_compact(F.array(*parts))).alias("v"))
 
 
 def components(df: DataFrame, width: int, offsets: list[tuple[int, int]] = FOUR, linked=same) -> DataFrame:

@@ -168,6 +168,6 @@ def sample_cubic(df: DataFrame, points: DataFrame, low: int = 0, high: int = 255
     def value(c: str) -> Column:
         rows = [sum((F.col(f"_t{4 * k + j}.{c}") * wx[j] for j in range(1, 4)), F.col(f"_t{4 * k}.{c}") * wx[0]) for k in range(4)]
         v = sum((wy[k] * rows[k] for k in range(1, 4)), wy[0] * rows[0])
-        return F.when(F.col("_t15").isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v)).cast("int")).otherwise(F.col(f"_t0.{c}"))
+        return F.when(F.col("_t0").isNotNull() & F.col("_t15").isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v)).cast("int")).otherwise(F.col(f"_t0.{c}"))
 
     return t.select("image_id", "point_id", *[value(c).alias(c) for c in channels(df.columns)])

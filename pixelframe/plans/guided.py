@@ -139,8 +139,9 @@ def fit(large: DataFrame, small: DataFrame, of: DataFrame, ratio: float, search:
     else:
         raise ValueError(f"search is fast or full, not {search!r}")
     c = c.withColumn("_b", best)
-    at = lambda k: F.col("q") + (F.expr(f"{k} div 3") - 1) * F.col("dw") + (F.col(k) % 3 - 1)
-    return c.select(*PLACE, "pixel_id", "q", at("_b.i").cast("long").alias("idx0"), at("_b.j").cast("long").alias("idx1"), F.col("_b.w").alias("w"))
+    # Never null, and said to be so: else a join on them would push a copy of the whole choice below itself as a null test.
+    at = lambda k: F.coalesce((F.col("q") + (F.expr(f"{k} div 3") - 1) * F.col("dw") + (F.col(k) % 3 - 1)).cast("long"), F.lit(-1).cast("long"))
+    return c.select(*PLACE, "pixel_id", "q", at("_b.i").alias("idx0"), at("_b.j").alias("idx1"), F.col("_b.w").alias("w"))
 
 
 def upsample(plan: DataFrame, small: DataFrame) -> DataFrame:

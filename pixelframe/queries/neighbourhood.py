@@ -123,10 +123,10 @@ def neighbour_offsets(spark, sf_dir):
     return spark.createDataFrame([(dy, dx, k) for k, (dy, dx) in enumerate(n.neighbour_offsets(2, 1))], "dy int, dx int, place int")
 
 
-_AROUND = "around as (select a.y, a.x, a.label, b.y as by, b.x as bx from lab a join lab b on ((b.y = a.y and b.x = a.x + 1) or (b.y = a.y + 1 and b.x between a.x - 1 and a.x + 1)) and b.label <> a.label, e where a.y < e.my and a.x < 63)"
+_AROUND = "around as (select a.y, a.x, a.label, b.y as b_y, b.x as b_x from lab a join lab b on ((b.y = a.y and b.x = a.x + 1) or (b.y = a.y + 1 and b.x between a.x - 1 and a.x + 1)) and b.label <> a.label, e where a.y < e.my and a.x < 63)"
 
 
-@query(f"with {grids.GRAY}, lab as (select y, x, c0 // 16 as label from gray), e as (select max(y) as my from gray), {_AROUND} select y, x from around union select by, bx from around")
+@query(f"with {grids.GRAY}, lab as (select y, x, c0 // 16 as label from gray), e as (select max(y) as my from gray), {_AROUND} select y, x from around union select b_y, b_x from around")
 def region_boundary(spark, sf_dir):
     """Pixels at changes of label."""
     lab = _gray(spark, sf_dir).select("image_id", "y", "x", F.expr("cast(c0 div 16 as int)").alias("label"))

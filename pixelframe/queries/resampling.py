@@ -20,8 +20,8 @@ def resize_nn(spark, sf_dir):
     return r.nearest(_gray(spark, sf_dir), 90, 100).drop("image_id")
 
 
-_P = f"""{_T}, at as (select *, y * (h / 100e0) as fy, x * (w / 90e0) as fx from target),
-place as (select y, x, case when trunc(fy) >= h - 1 then h - 2 else cast(trunc(fy) as int) end as sy, case when trunc(fx) >= w - 1 then w - 2 else cast(trunc(fx) as int) end as sx, case when trunc(fy) >= h - 1 then 1e0 else fy - trunc(fy) end as ry, case when trunc(fx) >= w - 1 then 1e0 else fx - trunc(fx) end as rx from at)"""
+_P = f"""{_T}, spot as (select *, y * (h / 100e0) as fy, x * (w / 90e0) as fx from target),
+place as (select y, x, case when trunc(fy) >= h - 1 then h - 2 else cast(trunc(fy) as int) end as sy, case when trunc(fx) >= w - 1 then w - 2 else cast(trunc(fx) as int) end as sx, case when trunc(fy) >= h - 1 then 1e0 else fy - trunc(fy) end as ry, case when trunc(fx) >= w - 1 then 1e0 else fx - trunc(fx) end as rx from spot)"""
 _J = "place p join gray a on a.y = p.sy and a.x = p.sx join gray b on b.y = p.sy and b.x = p.sx + 1 join gray c on c.y = p.sy + 1 and c.x = p.sx join gray d on d.y = p.sy + 1 and d.x = p.sx + 1"
 
 
@@ -31,8 +31,8 @@ def resize_bl_float(spark, sf_dir):
     return r.bilinear(_gray(spark, sf_dir), 90, 100).drop("image_id")
 
 
-_F = f"""{_T}, at as (select *, y * (h / 100e0) as fy, x * (w / 90e0) as fx, h / 100e0 as ky, w / 90e0 as kx from target),
-part as (select y, x, h, w, ky, kx, cast(trunc(fy) as int) as iy, cast(trunc(fx) as int) as ix, fy - trunc(fy) as ey, fx - trunc(fx) as ex from at),
+_F = f"""{_T}, spot as (select *, y * (h / 100e0) as fy, x * (w / 90e0) as fx, h / 100e0 as ky, w / 90e0 as kx from target),
+part as (select y, x, h, w, ky, kx, cast(trunc(fy) as int) as iy, cast(trunc(fx) as int) as ix, fy - trunc(fy) as ey, fx - trunc(fx) as ex from spot),
 snap as (select y, x, h, w, case when ey >= ky * 0.01e0 and ey > 1 - ky * 0.01e0 then iy + 1 else iy end as sy, case when ex >= kx * 0.01e0 and ex > 1 - kx * 0.01e0 then ix + 1 else ix end as sx,
  case when ey < ky * 0.01e0 or ey > 1 - ky * 0.01e0 then 0 else cast(trunc(ey * 65536e0) as int) end as ry, case when ex < kx * 0.01e0 or ex > 1 - kx * 0.01e0 then 0 else cast(trunc(ex * 65536e0) as int) end as rx from part),
 place as (select y, x, case when sy >= h - 1 then h - 2 else sy end as sy, case when sx >= w - 1 then w - 2 else sx end as sx, case when sy >= h - 1 then 65536 else ry end as ry, case when sx >= w - 1 then 65536 else rx end as rx from snap)"""

@@ -32,11 +32,11 @@ def file_numeric_order(spark, sf_dir):
     return n.withColumn("place", F.row_number().over(Window.orderBy(F.col("number").asc_nulls_first(), "name", "id")) - 1)
 
 
-@query("select doc_id, lower(substr(text, 1, 40)) as low, upper(substr(text, 1, 40)) as up, regexp_extract(text, '^[ \\t\\r\\n]*([^ \\t\\r\\n]*)', 1) as word, regexp_replace(text, '^[ \\t\\r\\n]+', '') as skipped, instr(text, 'th') - 1 as pair from documents")
+@query("select doc_id, lower(substr(text, 1, 40)) as low, upper(replace(substr(text, 1, 40), 'ß', 's')) as up, regexp_extract(text, '^[ \\t\\r\\n]*([^ \\t\\r\\n]*)', 1) as word, regexp_replace(text, '^[ \\t\\r\\n]+', '') as skipped, instr(text, 'th') - 1 as pair from documents")
 def string_case_and_skip(spark, sf_dir):
     """Case, first word, skipped blanks, place of a pair of characters."""
     s = F.col("text")
-    return grids.table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring(s, 1, 40)).alias("low"), F.upper(F.substring(s, 1, 40)).alias("up"), t.first_word(s).alias("word"), t.skip_space(s).alias("skipped"), t.find_pair(s, "t", "h").cast("long").alias("pair"))
+    return grids.table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring(s, 1, 40)).alias("low"), F.upper(F.translate(F.substring(s, 1, 40), "ß", "s")).alias("up"), t.first_word(s).alias("word"), t.skip_space(s).alias("skipped"), t.find_pair(s, "t", "h").cast("long").alias("pair"))
 
 
 @query("select event_id as id, case event_id % 4 when 0 then 4 when 1 then 9 when 2 then -1 else 1 end::int as place from events")
