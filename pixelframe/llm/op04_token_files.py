@@ -15,6 +15,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,7 @@ from .pretokens import CachedEncoder
 MAGIC = b"PFRANS01"
 BITS, LANES, CHECKPOINT, BLOCK = 18, 2048, 256, 1 << 20
 #: Ids of a file, about: documents are added until there are so many.
-FILE_IDS = 1 << 24
+FILE_IDS = 1 << 22
 _LOW = np.uint64(1 << 31)
 
 
@@ -131,6 +132,8 @@ def decode_block(data: bytes, entry: dict, table: Table, first: int = 0, last: i
         x[under] = x[under] << np.uint64(32) | stream[at : at + k]
         at += k
         state[: b - a] = x
+    if last == marks and (state != _LOW).any():
+        raise ValueError("the stream does not end where it began")
     for k in range(first, last):
         part = out[(k - first) * CHECKPOINT * LANES : (k - first + 1) * CHECKPOINT * LANES]
         if zlib.crc32(part.astype("<u4").tobytes()) != entry["sums"][k]:
@@ -209,7 +212,11 @@ def _encoder(path: str) -> CachedEncoder:
     char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(shown))}
 
     def encode(tokens: list[str]) -> list[bytes]:
-        return [np.array([t.id for t in model.tokenize(x.encode("utf-8", "surrogatepass").decode("latin-1").translate(char))], "<u4").tobytes() for x in tokens]
+        one, blank, out = model.tokenize, char[0x20], []
+        for x in tokens:
+            shown = x.replace(" ", blank) if x.isascii() and x.isprintable() else x.encode("utf-8", "surrogatepass").decode("latin-1").translate(char)
+            out.append(array("I", [t.id for t in one(shown)]).tobytes())
+        return out
 
     return CachedEncoder(public_tokenizers.PATTERN, encode)
 
@@ -249,7 +256,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
 
 
 def _ids(data: bytes, lengths: np.ndarray) -> np.ndarray:
-    return np.frombuffer(data, "<u2" if len(data) == 2 * lengths.sum() else "<u4").astype(np.int64)
+    return np.frombuffer(data, "<u2" if len(data) == 2 * lengths.sum() else "<u4")
 
 
 def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
@@ -293,7 +300,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id: in
 def read(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document in the files that write() returned: start counts the ids of all documents before it."""
     ship_code(files.sparkSession)
-    # One row a file, 16 million ids each: a window over all of them is small.
+    # One row a file, four million ids each: a window over all of them is small.
     placed = files.withColumn("base", F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1))).select("path", F.coalesce("base", F.lit(0)).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

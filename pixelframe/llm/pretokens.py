@@ -7,11 +7,14 @@ the rest is split by the pattern, and only pre-tokens that are not cached reach
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import filterfalse
 
 import regex
 
 #: A part that cannot be encoded by itself, for white space at one of its ends.
 _ODD = b"odd"
+#: Marks that often end a word. A run of them to the part's end is one pre-token of every pattern like the public one: neither letters, digits, white space nor the apostrophe of a contraction.
+_MARKS = ",.;:!?"
 
 
 class CachedEncoder:
@@ -25,21 +28,34 @@ class CachedEncoder:
         self.rest: dict[str, bytes] = {}
 
     def _learn_tokens(self, wanted: set[str]) -> None:
-        missing = list(wanted - self.tokens.keys())
+        missing = list(wanted.difference(self.tokens))
         if missing:
             self.tokens.update(zip(missing, self.encode(missing), strict=True))
 
     def _learn(self, cache: dict[str, bytes], parts: set[str], lead: str) -> None:
-        split = {}
+        """Encode new parts. A part of letters alone is one pre-token with the space before it, and letters before closing marks are two: only other parts need the pattern."""
+        words, marked, split, tokens = [], [], {}, set()
         for p in parts:
-            if not p or p[0].isspace() or p[-1].isspace():
+            if p.isalpha():
+                words.append(p)
+            elif (core := p.rstrip(_MARKS)).isalpha():
+                tail = p[len(core) :]
+                marked.append((p, core, tail))
+                tokens.add(tail)
+            elif not p or p[0].isspace() or p[-1].isspace():
                 cache[p] = _ODD
             else:
                 split[p] = self.find(lead + p)
-        self._learn_tokens({t for ts in split.values() for t in ts})
+                tokens.update(split[p])
+        words += {core for _, core, _ in marked}.difference(cache, words)
+        if words:
+            cache.update(zip(words, self.encode([lead + w for w in words]), strict=True))
+        self._learn_tokens(tokens)
         at = self.tokens
-        for p, ts in split.items():
-            cache[p] = at[ts[0]] if len(ts) == 1 else b"".join([at[t] for t in ts])
+        for p, core, tail in marked:
+            cache[p] = cache[core] + at[tail]
+        for p, found in split.items():
+            cache[p] = at[found[0]] if len(found) == 1 else b"".join([at[t] for t in found])
 
     def _whole(self, text: str) -> bytes:
         found = self.find(text)
@@ -51,26 +67,26 @@ class CachedEncoder:
         for cache in (self.tokens, self.first, self.rest):
             if len(cache) > self.most:
                 cache.clear()
-        split, first, rest = [], set(), set()
+        split, first, rest, known = [], set(), set(), self.rest.__contains__
         for text in texts:
             core = (text or "").rstrip(" \n\r\t")
-            parts = core.split(" ") if core else []
-            split.append(parts)
-            if parts:
-                first.add(parts[0])
-                rest.update(parts[1:])
-        self._learn(self.first, first - self.first.keys(), "")
-        self._learn(self.rest, rest - self.rest.keys(), " ")
+            head, *parts = core.split(" ") if core else [""]
+            split.append((core, head, parts))
+            if core:
+                first.add(head)
+                rest.update(filterfalse(known, parts))
+        self._learn(self.first, first.difference(self.first), "")
+        self._learn(self.rest, rest, " ")
         out, get = [], self.rest.__getitem__
-        for text, parts in zip(texts, split, strict=True):
-            if not parts:
+        for text, (core, head, parts) in zip(texts, split, strict=True):
+            if not core:
                 out.append(self._whole(text or ""))
                 continue
-            got = [self.first[parts[0]], *map(get, parts[1:])]
+            got = [self.first[head], *map(get, parts)]
             if _ODD in got:
                 out.append(self._whole(text))
                 continue
-            tail = text[len(text.rstrip(" \n\r\t")) :]
+            tail = text[len(core) :]
             if tail:
                 self._learn_tokens({tail})
                 got.append(self.tokens[tail])
