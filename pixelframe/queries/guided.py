@@ -4,6 +4,7 @@ from ..operators import aggregates, connectivity, pixels
 from ..plans import guided as g
 from ..registry import query
 from ..schema import PLACE
+from ..scratch import materialize
 from ..sources import grids
 from pyspark.sql import functions as F
 
@@ -134,9 +135,10 @@ stats as (select root, count(*) as size, sum(err)::bigint as error from region j
 
 def _regions(spark, sf_dir):
     """Pixels of large error with the first pixel of their region."""
-    on = _errors(spark, sf_dir).where("err >= 30")
+    # Read several times below, so it is written once.
+    on = materialize(_errors(spark, sf_dir).where("err >= 30"), "errors")
     labelled = connectivity.components_by_image(on.select(*PLACE, F.lit(1).alias("m")), connectivity.EIGHT)
-    both = on.join(labelled, PLACE)
+    both = materialize(on.join(labelled, PLACE), "regions")
     roots = both.groupBy("image_id", "label").agg(F.min("pixel_id").alias("root"))
     return both.join(roots, ["image_id", "label"])
 
