@@ -73,38 +73,74 @@ class CoverTree:
         return len(self.centre) - 1
 
 
+class _Flat:
+    """A tree's nodes as flat arrays: children inner nodes first, a single point its own child."""
+
+    def __init__(self, tree: CoverTree):
+        self.centre, self.radius = np.array(tree.centre), np.array(tree.radius)
+        self.leaf = np.array([not len(k) for k in tree.children])
+        kids = [np.array([n]) if self.leaf[n] else k[np.argsort(self.leaf[k], kind="stable")] for n, k in enumerate(tree.children)]
+        self.number = np.array([len(k) for k in kids])
+        self.first = np.cumsum(self.number) - self.number
+        self.kids = np.concatenate(kids)
+
+    def of(self, node: int) -> np.ndarray:
+        return self.kids[self.first[node] : self.first[node] + self.number[node]]
+
+
 def close_pairs(a: CoverTree, pa_: np.ndarray, b: CoverTree, pb: np.ndarray, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points, as rows of either side, that lie within distance or so little beyond it that rounding could tell; for a tree and itself each pair once."""
+    """Pairs of points, as rows of either side, that lie within distance or so little beyond it that rounding could tell; for a tree and itself each pair once.
+
+    A pair of nodes with many children is one matrix product; the many pairs with few are expanded together."""
     if not a.centre or not b.centre:
         return
     same = a is b
-    ca, cb = np.array(a.centre), np.array(b.centre)
-    ra, rb = np.array(a.radius), np.array(b.radius)
-    stack = [(0, 0)]
-    leaf = np.float32(1 - (distance + SLACK) ** 2 / 2)
-    while stack:
-        x, y = stack.pop()
-        kx = a.children[x] if len(a.children[x]) else np.array([x])
-        ky = b.children[y] if len(b.children[y]) else np.array([y])
-        kx, ky = kx[np.argsort(ra[kx] == 0, kind="stable")], ky[np.argsort(rb[ky] == 0, kind="stable")]  # inner nodes first
-        nx, ny = int((ra[kx] > 0).sum()), int((rb[ky] > 0).sum())
-        cosine = pa_[ca[kx]] @ pb[cb[ky]].T
-        # A pair within reach: distance <= threshold + both radii, put as a cosine.
+    fa = _Flat(a)
+    fb = fa if same else _Flat(b)
+    limit = lambda u, v: 1 - np.minimum(distance + SLACK + fa.radius[u] + fb.radius[v], 2.0) ** 2 / 2 - 1e-6  # noqa: E731  # the threshold and both radii, put as a cosine
+    leaf = np.float32(1 - (distance + SLACK) ** 2 / 2 - 1e-6)
+
+    def large(x: int, y: int) -> tuple[np.ndarray, np.ndarray]:
+        kx, ky = fa.of(x), fb.of(y)
+        nx, ny = int((~fa.leaf[kx]).sum()), int((~fb.leaf[ky]).sum())
+        cosine = pa_[fa.centre[kx]] @ pb[fb.centre[ky]].T
         keep = cosine >= leaf
         for rows, cols in ((slice(0, nx), slice(0, None)), (slice(nx, None), slice(0, ny))):
-            reach = np.minimum(distance + SLACK + ra[kx][rows][:, None] + rb[ky][cols][None, :], 2.0)
-            keep[rows, cols] = cosine[rows, cols] >= 1 - reach * reach / 2 - 1e-6
+            keep[rows, cols] = cosine[rows, cols] >= limit(kx[rows][:, None], ky[cols][None, :])
         i, j = np.nonzero(keep)
-        u, v = kx[i], ky[j]
-        if same and x == y:
-            once = u <= v
-            u, v = u[once], v[once]
-        single = (np.array([len(a.children[k]) for k in u.tolist()], np.int64) == 0) & (np.array([len(b.children[k]) for k in v.tolist()], np.int64) == 0) if len(u) else np.zeros(0, bool)
-        if same:
-            yield ca[u[single & (u != v)]], cb[v[single & (u != v)]]
-        else:
-            yield ca[u[single]], cb[v[single]]
-        stack += list(zip(u[~single].tolist(), v[~single].tolist(), strict=True))
+        return kx[i], ky[j]
+
+    def small(x: np.ndarray, y: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of = np.repeat(np.arange(len(x)), size)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+        n = fb.number[y][of]
+        u, v = fa.kids[fa.first[x][of] + at // n], fb.kids[fb.first[y][of] + at % n]
+        keep = np.einsum("ij,ij->i", pa_[fa.centre[u]], pb[fb.centre[v]]) >= limit(u, v)
+        return u[keep], v[keep], (x == y)[of][keep]
+
+    stack = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        x, y = stack.pop()
+        size = fa.number[x] * fb.number[y]
+        parts = []
+        for k in np.flatnonzero(size > 1 << 12):
+            u, v = large(int(x[k]), int(y[k]))
+            parts.append((u, v, np.full(len(u), x[k] == y[k])))
+        few = np.flatnonzero(size <= 1 << 12)
+        slabs = np.cumsum(size[few]) >> 17  # so many children's pairs at once
+        for k in np.unique(slabs):
+            own = few[slabs == k]
+            parts.append(small(x[own], y[own], size[own]))
+        for u, v, twin in parts:
+            if same:
+                once = ~twin | (u <= v)  # a node with itself gives each pair of children twice
+                u, v = u[once], v[once]
+            single = fa.leaf[u] & fb.leaf[v]
+            hit = single & (u != v) if same else single
+            if hit.any():
+                yield fa.centre[u[hit]], fb.centre[v[hit]]
+            if not single.all():
+                stack.append((u[~single], v[~single]))
 
 
 def _links(points: list[np.ndarray], trees: list[CoverTree], threshold: float) -> tuple[np.ndarray, np.ndarray]:
