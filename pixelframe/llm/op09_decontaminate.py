@@ -4,7 +4,8 @@ Every passage of every training document is a query against an inverted index of
 item is its BM25 share of the item's score against itself, so that one threshold holds for items of any length. Blocks
 of neighbouring items that the terms' largest impacts in the block cannot lift to the threshold are skipped whole; in
 the others WAND moves through the postings and skips items that those impacts cannot lift to it. What is retrieved is
-verified: the word n-grams of the item's question and of its answer must both be in the passage."""
+verified: the word n-grams of the item's question and of its answer must both be in the passage. One changed word costs a
+short side most of its n-grams, so a short side is also there if its words are, in order, but for a few edits."""
 
 from __future__ import annotations
 
@@ -24,6 +25,8 @@ from .common import rows_of, ship_code
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, words of an n-gram, and share of n-grams that must be found.
 THRESHOLD, SHINGLE, OVERLAP = 0.6, 5, 0.8
+#: From so many words on a side keeps the share of n-grams after any one changed word.
+LONG = 30
 #: Blocks of items in an index, items in an index (a larger benchmark is searched with one index after another), and passages whose bounds are added up at once.
 BLOCKS, SHARD, SLAB = 64, 2000, 512
 _word = re.compile(r"\w+").findall
@@ -49,6 +52,26 @@ def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return {tuple(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
 
 
+def edits(side: list[str], words: list[str]) -> int:
+    """The fewest words to change, add or leave out so that the side is a run of the words: bit-parallel, a row a word."""
+    m = len(side)
+    full, last, at = (1 << m) - 1, 1 << m >> 1, {}
+    for k, w in enumerate(side):
+        at[w] = at.get(w, 0) | 1 << k
+    up, down, now = full, 0, m
+    least = m
+    for w in words:
+        equal = at.get(w, 0)
+        x = equal | down
+        y = ((((equal & up) + up) ^ up) | equal) & full
+        right, left = down | full & ~(y | up), up & y
+        now += bool(right & last) - bool(left & last)
+        right, left = right << 1 & full, left << 1 & full
+        up, down = left | full & ~(x | right), right & x
+        least = min(least, now)
+    return least
+
+
 class Index:
     """Postings by term in ascending item order, and each term's largest impact in every block of neighbouring items."""
 
@@ -56,7 +79,8 @@ class Index:
         kept = [(i, text, tokens(text)) for i, text in items]
         kept = [x for x in kept if x[2]]
         self.ids = [i for i, _, _ in kept]
-        self.parts = [tuple(shingles(p) for p in question_and_answer(text)) for _, text, _ in kept]
+        self.sides = [question_and_answer(text) for _, text, _ in kept]
+        self.parts = [tuple(shingles(p) for p in sides) for sides in self.sides]
         self.longest = max((len(w) for _, _, w in kept), default=0)
         n, mean = len(kept), sum(len(w) for _, _, w in kept) / max(1, len(kept))
         df = Counter(t for _, _, w in kept for t in set(w))
@@ -148,7 +172,7 @@ class Index:
                 yield int(start[k]), int(start[k]) + 2 * half, term[pick[who == k]].tolist(), blocks[rows == r].tolist()
 
     def find(self, text: str | None, threshold: float, overlap: float) -> dict[int, tuple[float, float, float]]:
-        """For each item that a passage of the text holds: the largest score, and the shares of its question's and its answer's n-grams in that passage."""
+        """For each item that a passage of the text holds: the largest score, and the shares of its question and its answer in that passage: of n-grams, or of a short side's words in order if that is more."""
         words, out = tokens(text), {}
         for start, end, terms, blocks in self.passages(words, threshold):
             found = self.search(terms, threshold, blocks)
@@ -157,6 +181,9 @@ class Index:
                 short = {n: {tuple(words[k : k + n]) for k in range(start, min(end, len(words)) - n + 1)} for n in range(1, SHINGLE)}
                 for item, score in found:
                     share = [sum(s in (here if len(s) == SHINGLE else short[len(s)]) for s in part) / len(part) if part else 1.0 for part in self.parts[item]]
+                    for k, side in enumerate(self.sides[item]):
+                        if share[k] < overlap and len(side) < LONG:
+                            share[k] = max(share[k], (len(side) - edits(side, words[start:end])) / len(side))
                     if min(share) >= overlap and score > out.get(item, (0.0,))[0]:
                         out[item] = (score, *share)
         return out
