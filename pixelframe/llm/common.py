@@ -74,8 +74,8 @@ def fold(doc_id: str, folds: int):
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
-def rows_of(batch: pa.RecordBatch, size: int = 512, most_bytes: int = 4 << 20) -> Iterator[list[list]]:
-    """The columns of an Arrow batch as Python lists, a few rows at a time: at most size rows and about most_bytes of text, but one row at least."""
+def slices(batch: pa.RecordBatch, size: int = 512, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """An Arrow batch a few rows at a time: at most size rows and about most_bytes of text, but one row at least."""
     weight = np.zeros(batch.num_rows, np.int64)
     for column in batch.columns:
         if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
@@ -84,6 +84,11 @@ def rows_of(batch: pa.RecordBatch, size: int = 512, most_bytes: int = 4 << 20) -
     while at < batch.num_rows:
         before = total[at - 1] if at else 0
         end = min(at + size, max(at + 1, int(np.searchsorted(total, before + most_bytes, "right"))), batch.num_rows)
-        part = batch.slice(at, end - at)
-        yield [part.column(i).to_pylist() for i in range(part.num_columns)]
+        yield batch.slice(at, end - at)
         at = end
+
+
+def rows_of(batch: pa.RecordBatch, size: int = 512, most_bytes: int = 4 << 20) -> Iterator[list[list]]:
+    """The columns of an Arrow batch as Python lists, a few rows at a time, as slices() cuts them."""
+    for part in slices(batch, size, most_bytes):
+        yield [part.column(i).to_pylist() for i in range(part.num_columns)]

@@ -11,14 +11,16 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import rows_of, ship_code
-from .pretokens import CachedEncoder
+from .common import ship_code, slices
+from .pretokens import Coded, PartEncoder, binary, take_runs
 
 _CHAR = [chr(0x100 + b) for b in range(256)]
 _TABLE = {b: c for b, c in enumerate(_CHAR)}
@@ -59,37 +61,55 @@ def sentencepiece_model(ranks: dict[bytes, int]) -> bytes:
 
 
 class Codec:
-    """Encoder and decoder for one rank file and one pre-token pattern."""
+    """Encoder and decoder for one rank file and one pre-token pattern.
+
+    Texts are cut at single spaces only under the public pattern, of which it is known that no pre-token goes on after
+    a space; under any other, whole texts are split by the pattern."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks = ranks
+        import public_tokenizers
+
+        self.ranks, self.find = ranks, regex.compile(pattern).findall
         by_rank = sorted(ranks.items(), key=lambda x: x[1])
-        self.rank_of_piece = [0, *(rank for _, rank in by_rank)]
-        self.bytes_of = {rank: token for token, rank in by_rank}
+        self.rank_of_piece = np.array([0, *(rank for _, rank in by_rank)], np.uint32)
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(ranks))
-        self.cached = CachedEncoder(pattern, self._encode)
-
-    def _encode(self, tokens: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
+        self.length = np.zeros(by_rank[-1][1] + 1, np.int64)  # bytes of each rank's token, and all of them joined
+        self.length[[rank for _, rank in by_rank]] = [len(token) for token, _ in by_rank]
+        self.start = np.cumsum(self.length) - self.length
+        self.bytes = np.frombuffer(b"".join(token for token, _ in by_rank), np.uint8)
+        self.parts = PartEncoder(self._learn, lambda text: self._split([text])[0], cut=pattern == public_tokenizers.PATTERN)
+
+    def _split(self, texts: list[str]) -> Coded:
+        """Ids of each text by its pre-tokens. Each distinct pre-token is encoded once: a known token by its rank, others by sentencepiece."""
+        found = [self.find(t) for t in texts]
+        place: dict[str, int] = {}
+        rows = np.fromiter((place.setdefault(t, len(place)) for f in found for t in f), np.int64)
+        ids: list = [None] * len(place)
         merge, at = [], []
-        for k, t in enumerate(tokens):
-            raw = t.encode()
-            rank = self.ranks.get(raw)
-            out.append(None if rank is None else struct.pack("<I", rank))
-            if rank is None:
+        for k, token in enumerate(place):
+            raw = token.encode()
+            if (rank := self.ranks.get(raw)) is None:
                 merge.append(raw.decode("latin-1").translate(_TABLE))
                 at.append(k)
-        rank_of = self.rank_of_piece
-        for k, ids in zip(at, self.sp.encode(merge, num_threads=1) if merge else [], strict=True):
-            out[k] = struct.pack(f"<{len(ids)}I", *[rank_of[i] for i in ids])
-        return out  # type: ignore[return-value]
+            else:
+                ids[k] = (rank,)
+        for k, pieces in zip(at, self.sp.encode(merge, num_threads=1) if merge else [], strict=True):
+            ids[k] = self.rank_of_piece[pieces]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+        texts_of = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        return take_runs(flat, np.cumsum(length) - length, length, rows), np.bincount(texts_of, length[rows], len(found)).astype(np.int64)
+
+    def _learn(self, parts: list[str], lead: str) -> Coded:
+        return self._split([lead + p for p in parts])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is as empty."""
-        return self.cached.texts(texts)
+        ids, bounds = self.parts.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].astype("<u4").tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        return take_runs(self.bytes, self.start, self.length, np.frombuffer(ids, "<u4").astype(np.int64)).tobytes()
 
 
 @lru_cache(4)
@@ -109,17 +129,19 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            for ids, texts in rows_of(batch):
-                coded = c.encode(texts)
+            for part in slices(batch, 8192, 8 << 20):
+                ids, bounds = c.parts.encode(part.column(1))
+                at = np.concatenate(([0], np.cumsum(c.length[ids])))[bounds]
+                coded, decoded = (memoryview(x.tobytes()) for x in (ids.astype("<u4"), take_runs(c.bytes, c.start, c.length, ids)))
                 cols = [
-                    pa.array(ids, batch.schema.field(0).type),
-                    pa.array([len(x) // 4 for x in coded], pa.int64()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in coded]),
-                    pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in coded]),
+                    part.column(0),
+                    pa.array(np.diff(bounds)),
+                    pa.array([hashlib.sha256(coded[4 * a : 4 * b]).hexdigest() for a, b in zip(bounds, bounds[1:], strict=False)], pa.string()),
+                    pa.array([hashlib.sha256(decoded[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)], pa.string()),
                 ]
                 names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
                 if keep_ids:
-                    cols.append(pa.array(coded, pa.binary()))
+                    cols.append(binary(ids.astype("<u4"), bounds))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 

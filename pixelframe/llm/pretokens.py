@@ -1,94 +1,127 @@
-"""Split a text into the pre-tokens of public_tokenizers.PATTERN and give the token ids of each, with caches of bounded size.
+"""Token ids of whole texts, a batch of texts at a time, by parts that are encoded once.
 
-A space between two characters that are not white space always starts a new pre-token, so the parts between such
-spaces can be encoded by themselves. Texts repeat their words: most parts are found in a cache of encoded parts,
-the rest is split by the pattern, and only pre-tokens that are not cached reach the encoder."""
+A space between two characters that are not white space always starts a new pre-token under patterns that cut before
+" word", so the parts between such spaces can be encoded by themselves. Parts are cut, made distinct and looked up in
+a store of bounded size with Arrow; only parts that are not in the store reach the encoder, and numpy lays out the ids.
+Texts that cannot be cut so (white space at a part's end, strings with a meaning of their own) are encoded whole."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import filterfalse
 
-import regex
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A part that cannot be encoded by itself, for white space at one of its ends.
-_ODD = b"odd"
-#: Marks that often end a word. A run of them to the part's end is one pre-token of every pattern like the public one: neither letters, digits, white space nor the apostrophe of a contraction.
-_MARKS = ",.;:!?"
+#: Ids of several strings: all of them joined, and how many each has.
+Coded = tuple[np.ndarray, np.ndarray]
 
 
-class CachedEncoder:
-    """encode(pre-tokens) -> ids of each as bytes. Texts come out as the joined bytes of their ids."""
+def take_runs(flat: np.ndarray, start: np.ndarray, length: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """flat[start[r] : start[r] + length[r]] of all rows, joined."""
+    n = length[rows]
+    return flat[np.arange(int(n.sum())) + np.repeat(start[rows] - (np.cumsum(n) - n), n)]
 
-    def __init__(self, pattern: str, encode: Callable[[list[str]], list[bytes]], most: int = 400_000):
-        self.find = regex.compile(pattern).findall
+
+class _Store:
+    """Rows of ids by string. When it holds over `most` strings, those that were met once only are forgotten."""
+
+    def __init__(self, encode: Callable[[list[str]], Coded], most: int):
         self.encode, self.most = encode, most
-        self.tokens: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-
-    def _learn_tokens(self, wanted: set[str]) -> None:
-        missing = list(wanted.difference(self.tokens))
-        if missing:
-            self.tokens.update(zip(missing, self.encode(missing), strict=True))
-
-    def _learn(self, cache: dict[str, bytes], parts: set[str], lead: str) -> None:
-        """Encode new parts. A part of letters alone is one pre-token with the space before it, and letters before closing marks are two: only other parts need the pattern."""
-        words, marked, split, tokens = [], [], {}, set()
-        for p in parts:
-            if p.isalpha():
-                words.append(p)
-            elif (core := p.rstrip(_MARKS)).isalpha():
-                tail = p[len(core) :]
-                marked.append((p, core, tail))
-                tokens.add(tail)
-            elif not p or p[0].isspace() or p[-1].isspace():
-                cache[p] = _ODD
-            else:
-                split[p] = self.find(lead + p)
-                tokens.update(split[p])
-        words += {core for _, core, _ in marked}.difference(cache, words)
-        if words:
-            cache.update(zip(words, self.encode([lead + w for w in words]), strict=True))
-        self._learn_tokens(tokens)
-        at = self.tokens
-        for p, core, tail in marked:
-            cache[p] = cache[core] + at[tail]
-        for p, found in split.items():
-            cache[p] = at[found[0]] if len(found) == 1 else b"".join([at[t] for t in found])
-
-    def _whole(self, text: str) -> bytes:
-        found = self.find(text)
-        self._learn_tokens(set(found))
-        at = self.tokens
-        return b"".join([at[t] for t in found])
-
-    def texts(self, texts: list[str | None]) -> list[bytes]:
-        for cache in (self.tokens, self.first, self.rest):
-            if len(cache) > self.most:
-                cache.clear()
-        split, first, rest, known = [], set(), set(), self.rest.__contains__
-        for text in texts:
-            core = (text or "").rstrip(" \n\r\t")
-            head, *parts = core.split(" ") if core else [""]
-            split.append((core, head, parts))
-            if core:
-                first.add(head)
-                rest.update(filterfalse(known, parts))
-        self._learn(self.first, first.difference(self.first), "")
-        self._learn(self.rest, rest, " ")
-        out, get = [], self.rest.__getitem__
-        for text, (core, head, parts) in zip(texts, split, strict=True):
-            if not core:
-                out.append(self._whole(text or ""))
-                continue
-            got = [self.first[head], *map(get, parts)]
-            if _ODD in got:
-                out.append(self._whole(text))
-                continue
-            tail = text[len(core) :]
-            if tail:
-                self._learn_tokens({tail})
-                got.append(self.tokens[tail])
-            out.append(b"".join(got))
-        return out
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = pa.array([], pa.string())
+        self.flat, self.length, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _shrink(self) -> None:
+        keep = self.met > 1
+        if keep.sum() > self.most // 2:
+            self._forget()
+            return
+        self.flat = take_runs(self.flat, self.start, self.length, np.flatnonzero(keep))
+        self.keys, self.length, self.met = self.keys.filter(pa.array(keep)), self.length[keep], np.ones(int(keep.sum()), np.int64)
+
+    @property
+    def start(self) -> np.ndarray:
+        return np.cumsum(self.length) - self.length
+
+    def rows(self, values: pa.Array) -> np.ndarray:
+        """The row of each of the distinct values."""
+        if len(self.keys) > self.most:
+            self._shrink()
+        at = pc.fill_null(pc.index_in(values, value_set=self.keys), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = at < 0
+        if new.any():
+            missing = values.filter(pa.array(new))
+            flat, length = self.encode(missing.to_pylist())
+            at[new] = len(self.keys) + np.arange(len(missing))
+            self.keys = pa.concat_arrays([self.keys, missing])
+            self.flat, self.length = np.concatenate((self.flat, flat)), np.concatenate((self.length, length))
+            self.met = np.concatenate((self.met, np.zeros(len(missing), np.int64)))
+        self.met[at] += 1
+        return at
+
+
+class PartEncoder:
+    """learn(parts, lead): ids of each part with lead before it. whole(text): ids of a text. own: strings that keep a text whole. cut: whether texts may be cut at all."""
+
+    def __init__(self, learn: Callable[[list[str], str], Coded], whole: Callable[[str], np.ndarray], own: tuple[str, ...] = (), cut: bool = True, most: int = 400_000):
+        self.whole, self.own, self.cut = whole, own, cut
+        self.first = _Store(lambda parts: learn(parts, ""), most)
+        self.rest = _Store(lambda parts: learn(parts, " "), most)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, joined, and the texts' bounds among them: one more than there are texts. Null is as empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        core = pc.utf8_rtrim(texts, " \n\r\t")
+        size, inner = (pc.binary_length(x).to_numpy(zero_copy_only=False) for x in (texts, core))
+        parts = pc.split_pattern(core, " ")
+        edge = parts.offsets.to_numpy().astype(np.int64)
+        edge, values = edge - edge[0], parts.flatten()
+        coded = values.dictionary_encode()
+        code, words = coded.indices.to_numpy(), coded.dictionary
+        loose = pc.or_(pc.equal(pc.binary_length(words), 0), pc.not_equal(pc.utf8_trim_whitespace(words), words)).to_numpy(zero_copy_only=False)
+        odd = np.logical_or.reduceat(loose[code], edge[:-1]) | (inner == 0) if self.cut else np.ones(n, bool)
+        for mark in self.own:
+            odd |= pc.match_substring(texts, mark).to_numpy(zero_copy_only=False)
+
+        # Rows of three tables, one after another: parts after a space, first parts, and what is encoded for this batch alone.
+        in_odd = np.repeat(odd, np.diff(edge))
+        usable = np.zeros(len(words), bool)
+        usable[code[~in_odd]] = True
+        row = np.zeros(len(words), np.int64)
+        row[usable] = self.rest.rows(words.filter(pa.array(usable)))
+        plain = np.flatnonzero(~odd)
+        heads = values.take(pa.array(edge[:-1][plain])).dictionary_encode()
+        head_row = self.first.rows(heads.dictionary)[heads.indices.to_numpy()] if len(plain) else np.zeros(0, np.int64)
+        own = [np.zeros(0, np.uint32)]
+        a = len(self.rest.length)
+        b = a + len(self.first.length)
+        who = row[code]
+        who[edge[:-1][plain]] = a + head_row
+        who[in_odd] = b
+        for i in np.flatnonzero(odd).tolist():
+            if size[i]:
+                who[edge[i]] = b + len(own)
+                own.append(self.whole(texts[i].as_py()))
+        tail = np.flatnonzero(~odd & (size > inner))
+        if len(tail):  # white space to the text's end is one more part
+            tails = [t.as_py()[len(c.as_py()) :] for t, c in ((texts[i], core[i]) for i in tail.tolist())]
+            distinct = {t: b + len(own) + k for k, t in enumerate(dict.fromkeys(tails))}
+            own += [self.whole(t) for t in distinct]
+            who = np.insert(who, edge[tail + 1], [distinct[t] for t in tails])
+            edge = edge + np.concatenate(([0], np.cumsum(np.isin(np.arange(n), tail))))
+        flat = np.concatenate((self.rest.flat, self.first.flat, *own))
+        length = np.concatenate((self.rest.length, self.first.length, [len(x) for x in own])).astype(np.int64)
+        start = np.cumsum(length) - length
+        return take_runs(flat, start, length, who), np.concatenate(([0], np.cumsum(length[who])))[edge]
+
+
+def binary(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """An Arrow binary array of the items between neighbouring bounds, without a copy of the data."""
+    edges = (bounds * data.itemsize).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())

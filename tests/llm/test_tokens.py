@@ -112,7 +112,6 @@ def test_token_files(spark, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(PLAIN)
-    tok.encode_special_tokens = True
     docs = documents(spark)
     files = op04_token_files.write(docs, PLAIN, tmp_path.as_uri(), file_ids=5000)
     assert files.count() > 1 and sorted(p.suffix for p in tmp_path.iterdir()) == [".rans"] * files.count()
@@ -125,6 +124,76 @@ def test_token_files(spark, tmp_path):
     assert op04_token_files.round_trip(empty(spark), PLAIN).count() == 0
 
 
+def test_token_files_of_added_tokens_and_other_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(PLAIN)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a\0b c", "x <|endoftext|>\n"]
+    assert tok.encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    for kind, make in (("string", lambda k: f"id {k}"), ("int", lambda k: -k)):
+        docs = spark.createDataFrame([(make(k), t) for k, t in enumerate(texts)] + [(None, None)], f"key {kind}, body string")
+        out = op04_token_files.round_trip(docs, PLAIN, id_col="key", text_col="body")
+        assert out.schema["key"].dataType.simpleString() == kind
+        at = 0
+        for (i, text), r in zip(sorted(map(tuple, docs.collect()), key=lambda r: (r[0] is not None, r[0])), sorted(out.collect(), key=lambda r: r["start"]), strict=True):
+            ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
+            assert tuple(r) == (i, at, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+            at += len(ids)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'!?aZé3 \x00\x1c\xa0"), st.characters(codec="utf-8", max_codepoint=0x2FFF)), max_size=40), max_size=4))
+def test_parts_are_as_the_whole_library(texts):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok, encoder = Tokenizer.from_file(PLAIN), op04_token_files._encoder(PLAIN)
+    ids, edge = encoder.encode(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(edge, edge[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_parts_are_forgotten_and_learnt_again():
+    import pyarrow as pa
+
+    calls = []
+
+    def learn(parts, lead):
+        calls.append(len(parts))
+        return np.array([ord(p[0]) for p in parts], np.uint32), np.ones(len(parts), np.int64)
+
+    from pixelframe.llm.pretokens import PartEncoder
+
+    e = PartEncoder(learn, lambda t: np.array([1, 2], np.uint32), most=3)
+    for text in ("a b c d e", "b c", "b f g h", "q b i j k", "  x", "a b\n", None, ""):
+        ids, edge = e.encode(pa.array([text, text], pa.string()))
+        want = [] if not text else [1, 2] if text == "  x" else [ord(p[0]) for p in text.rstrip().split(" ")] + [1, 2] * text.endswith("\n")
+        assert ids.tolist() == want * 2 and edge.tolist() == [0, len(want), 2 * len(want)]
+    assert len(e.rest.keys) <= 8
+
+
+@pytest.mark.parametrize("lengths", [[5, 0, 3_000_000, 1, 1_048_575, 1], [1_048_576, 2_097_152], [700_000] * 5])
+def test_blocks_read_by_themselves_give_the_whole_file(tmp_path, lengths):
+    rng = np.random.default_rng(3)
+    ids = rng.integers(0, 1000, sum(lengths)).astype(np.int64)
+    path, table = (tmp_path / "a.rans").as_uri(), op04_token_files.Table.scaled(np.bincount(ids, minlength=1000))
+    op04_token_files.write_file(path, table, ids, list(range(len(lengths))), np.array(lengths))
+    start = np.cumsum(lengths) - lengths
+    blocks = -(-len(ids) // op04_token_files.BLOCK)
+    found = [x for b in range(blocks) for x in op04_token_files.read_file(path, b, b + 1)]
+    assert [(i, a) for i, a, _ in found] == list(enumerate(start.tolist()))
+    assert all((part == ids[a : a + n]).all() for (_, a, part), n in zip(found, lengths, strict=True))
+    assert [x[0] for x in op04_token_files.read_file(path)] == [x[0] for x in found]
+
+
+def test_ranges_part_the_rows_of_one_id(spark):
+    docs = spark.createDataFrame([(7, f"text {k}") for k in range(400)] + [(k, "t") for k in range(100)], "doc_id long, text string")
+    bounds = op04_token_files._ranges(docs, "doc_id", 8)
+    assert len(bounds) == 7 and bounds == sorted(bounds) and len({b[2] for b in bounds if b[1] == 7}) > 3
+    assert sorted(spark.createDataFrame([(int(k),) for k in op04_token_files._keys(spark, 8)], "k int").select(F.expr("pmod(hash(k), 8)").alias("p")).toPandas()["p"]) == list(range(8))
+    out = sorted(op04_token_files.round_trip(docs.repartition(8), PLAIN).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == sorted([7] * 400 + list(range(100)))
+
+
 def test_token_file_that_is_cut_off(spark, tmp_path):
     path = op04_token_files.write(documents(spark), PLAIN, tmp_path.as_uri()).first()["path"].removeprefix("file://")
     data = open(path, "rb").read()
