@@ -77,16 +77,13 @@ class Codec:
         self.length[[rank for _, rank in by_rank]] = [len(token) for token, _ in by_rank]
         self.start = np.cumsum(self.length) - self.length
         self.bytes = np.frombuffer(b"".join(token for token, _ in by_rank), np.uint8)
-        self.parts = PartEncoder(self._learn, lambda text: self._split([text])[0], cut=pattern == public_tokenizers.PATTERN)
+        self.parts = PartEncoder(self._tokens, self._split, lambda text: self._split([text])[0], cut=pattern == public_tokenizers.PATTERN)
 
-    def _split(self, texts: list[str]) -> Coded:
-        """Ids of each text by its pre-tokens. Each distinct pre-token is encoded once: a known token by its rank, others by sentencepiece."""
-        found = [self.find(t) for t in texts]
-        place: dict[str, int] = {}
-        rows = np.fromiter((place.setdefault(t, len(place)) for f in found for t in f), np.int64)
-        ids: list = [None] * len(place)
+    def _tokens(self, tokens: list[str]) -> Coded:
+        """Ids of pre-tokens: a known one by its rank, others by sentencepiece."""
+        ids: list = [None] * len(tokens)
         merge, at = [], []
-        for k, token in enumerate(place):
+        for k, token in enumerate(tokens):
             raw = token.encode()
             if (rank := self.ranks.get(raw)) is None:
                 merge.append(raw.decode("latin-1").translate(_TABLE))
@@ -96,13 +93,17 @@ class Codec:
         for k, pieces in zip(at, self.sp.encode(merge, num_threads=1) if merge else [], strict=True):
             ids[k] = self.rank_of_piece[pieces]
         length = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), length
+
+    def _split(self, texts: list[str]) -> Coded:
+        """Ids of texts by their pre-tokens, each distinct one encoded once."""
+        found = [self.find(t) for t in texts]
+        place: dict[str, int] = {}
+        rows = np.fromiter((place.setdefault(t, len(place)) for f in found for t in f), np.int64)
+        flat, length = self._tokens(list(place))
         texts_of = np.repeat(np.arange(len(found)), [len(f) for f in found])
         return take_runs(flat, np.cumsum(length) - length, length, rows), np.bincount(texts_of, length[rows], len(found)).astype(np.int64)
 
-    def _learn(self, parts: list[str], lead: str) -> Coded:
-        return self._split([lead + p for p in parts])
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null is as empty."""
         ids, bounds = self.parts.encode(pa.array(texts, pa.string()))

@@ -58,14 +58,11 @@ class Table:
             return cls(freq)
         exact = counts * (room / total)
         freq = np.where(counts > 0, np.maximum(1, np.floor(exact).astype(np.int64)), 0)
-        short = room - int(freq.sum())
-        if short > 0:
-            freq[np.argmax(counts)] += short
-        while short < 0:  # the commonest ids give up what the rarest were lent
-            order = np.argsort(-freq, kind="stable")[: -short]
-            take = order[freq[order] > 1]
-            freq[take] -= 1
-            short += len(take)
+        over = int(freq.sum()) - room
+        if over > 0:  # the common ids give up, in proportion, what the rarest were lent
+            spare = np.maximum(freq - 1, 0)
+            freq -= spare - spare * (int(spare.sum()) - over) // int(spare.sum())
+        freq[np.argmax(counts)] += room - int(freq.sum())
         return cls(freq)
 
     def pack(self) -> bytes:
@@ -228,9 +225,9 @@ def read_file(path: str, first: int = 0, last: int | None = None) -> Iterator[tu
 def _encoder(path: str) -> PartEncoder:
     """The tokenizers library's own encode, without special tokens of its post-processing.
 
-    Byte-level BPE without a normaliser is cut at single spaces: many parts at once go through the library's own
-    pre-tokeniser and model, held apart by the zero byte. Texts with an added token or a zero byte, and all texts of any
-    other tokenizer, are encoded whole."""
+    Byte-level BPE without a normaliser is cut at single spaces: plain pre-tokens go to the library's model, other
+    parts through its own pre-tokeniser, many at once and held apart by the zero byte. Texts with an added token or a
+    zero byte, and all texts of any other tokenizer, are encoded whole."""
     from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
@@ -243,22 +240,33 @@ def _encoder(path: str) -> PartEncoder:
     if cut:
         apart.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\0", "isolated"), tokenizer.pre_tokenizer])
 
-    def learn(parts: list[str], lead: str) -> Coded:
-        found, ends = [], []
-        for at in range(0, len(parts), 256):
-            joined = "".join([f"{lead}{p}\0" for p in parts[at : at + 256]])
-            ids = np.array(apart.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+    shown = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0)]  # these bytes stand for themselves, the others are numbered from 256
+    char = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    bare = Tokenizer(tokenizer.model)
+    bare.pre_tokenizer = pre_tokenizers.Split(char[0], "isolated")
+
+    def many(by: Tokenizer, strings: list[str], mark: str, size: int) -> Coded:
+        """Ids of strings that go to the library joined, each with the zero byte behind it."""
+        found, number = [], []
+        for at in range(0, len(strings), size):
+            ids = np.array(by.encode_batch_fast([mark.join([*strings[at : at + size], ""])], add_special_tokens=False)[0].ids, np.uint32)
             end = ids == zero
             found.append(ids[~end])
-            place = np.flatnonzero(end)
-            ends.append(np.diff(place, prepend=-1) - 1)
-        return np.concatenate(found), np.concatenate(ends)
+            number.append(np.diff(np.flatnonzero(end), prepend=-1) - 1)
+        return np.concatenate(found), np.concatenate(number)
+
+    def tokens(found: list[str]) -> Coded:
+        shown = [x.replace(" ", char[0x20]) if x.isascii() and x != "\n" else x.encode().decode("latin-1").translate(char) for x in found]
+        return many(bare, shown, char[0], 1024)
+
+    def parts(strings: list[str]) -> Coded:
+        return many(apart, strings, "\0", 256)
 
     def whole(text: str) -> np.ndarray:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     own = ("\0", *(t.content for t in tokenizer.get_added_tokens_decoder().values()))
-    return PartEncoder(learn, whole, own, cut)
+    return PartEncoder(tokens, parts, whole, own, cut)
 
 
 def _wide(tokenizer: str, end_id: int) -> bool:

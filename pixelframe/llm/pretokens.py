@@ -1,9 +1,12 @@
 """Token ids of whole texts, a batch of texts at a time, by parts that are encoded once.
 
-A space between two characters that are not white space always starts a new pre-token under patterns that cut before
-" word", so the parts between such spaces can be encoded by themselves. Parts are cut, made distinct and looked up in
-a store of bounded size with Arrow; only parts that are not in the store reach the encoder, and numpy lays out the ids.
-Texts that cannot be cut so (white space at a part's end, strings with a meaning of their own) are encoded whole."""
+Under the pattern of byte-level pre-tokenisers (contractions, letters, digits, symbols, white space) a space between
+two characters that are not white space always starts a new pre-token, so the parts between such spaces can be encoded
+by themselves. Parts are cut, made distinct and looked up in a store of bounded size with Arrow; only parts that are not
+in the store are looked at further, and numpy lays out the ids. Most of those are Latin letters, perhaps with symbols
+behind them, perhaps twice with a line end between: their pre-tokens are plain, and have a store of their own. The rest
+goes to the encoder as it stands. Texts that cannot be cut so (white space at a part's end, strings with a meaning of
+their own) are encoded whole."""
 
 from __future__ import annotations
 
@@ -13,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Letters of the Latin blocks, ASCII symbols behind them, and the same again after a line end. No later version of Unicode changes what these are.
+_LETTERS, _SYMBOLS = "[A-Za-zÀ-ÖØ-öø-ɏ]+", r"[!-/:-@\[-`{-~]*"
+_PLAIN = rf"^(?P<a>{_LETTERS})(?P<b>{_SYMBOLS})(?:\n(?P<c>{_LETTERS})(?P<d>{_SYMBOLS}))?$"
 #: Ids of several strings: all of them joined, and how many each has.
 Coded = tuple[np.ndarray, np.ndarray]
 
@@ -26,7 +32,7 @@ def take_runs(flat: np.ndarray, start: np.ndarray, length: np.ndarray, rows: np.
 class _Store:
     """Rows of ids by string. When it holds over `most` strings, those that were met once only are forgotten."""
 
-    def __init__(self, encode: Callable[[list[str]], Coded], most: int):
+    def __init__(self, encode: Callable[[pa.Array], Coded], most: int):
         self.encode, self.most = encode, most
         self._forget()
 
@@ -54,7 +60,7 @@ class _Store:
         new = at < 0
         if new.any():
             missing = values.filter(pa.array(new))
-            flat, length = self.encode(missing.to_pylist())
+            flat, length = self.encode(missing)
             at[new] = len(self.keys) + np.arange(len(missing))
             self.keys = pa.concat_arrays([self.keys, missing])
             self.flat, self.length = np.concatenate((self.flat, flat)), np.concatenate((self.length, length))
@@ -64,12 +70,42 @@ class _Store:
 
 
 class PartEncoder:
-    """learn(parts, lead): ids of each part with lead before it. whole(text): ids of a text. own: strings that keep a text whole. cut: whether texts may be cut at all."""
-
-    def __init__(self, learn: Callable[[list[str], str], Coded], whole: Callable[[str], np.ndarray], own: tuple[str, ...] = (), cut: bool = True, most: int = 400_000):
-        self.whole, self.own, self.cut = whole, own, cut
-        self.first = _Store(lambda parts: learn(parts, ""), most)
-        self.rest = _Store(lambda parts: learn(parts, " "), most)
+    """tokens(pre-tokens): ids of each. parts(strings): ids of strings that must be split first. whole(text): ids of a text.
+
+    own: strings that keep a text whole. cut: whether texts may be cut at all; only under the pattern named above."""
+
+    def __init__(self, tokens: Callable[[list[str]], Coded], parts: Callable[[list[str]], Coded], whole: Callable[[str], np.ndarray], own: tuple[str, ...] = (), cut: bool = True, most: int = 400_000):
+        self.parts, self.whole, self.own, self.cut = parts, whole, own, cut
+        self.tokens = _Store(lambda found: tokens(found.to_pylist()), most)
+        self.first = _Store(lambda found: self._learn(found, ""), most)
+        self.rest = _Store(lambda found: self._learn(found, " "), most)
+
+    def _learn(self, found: pa.Array, lead: str) -> Coded:
+        """Ids of parts with lead before them."""
+        plain = pc.extract_regex(found, _PLAIN)
+        known = pc.is_valid(plain)
+        ok = known.to_numpy(zero_copy_only=False)
+        others = found.filter(pc.invert(known)).to_pylist()
+        flat, length = self.parts([lead + x for x in others]) if others else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        if not ok.any():
+            return flat, length
+        a, b, c, d = (pc.fill_null(x, "") for x in plain.filter(known).flatten())
+        n, twice = len(a), pc.not_equal(c, "")
+        slots = pa.concat_arrays([pc.binary_join_element_wise(pa.array([lead] * n), a, ""), b, pc.if_else(twice, "\n", ""), c, d]).dictionary_encode()
+        full = pc.not_equal(slots.dictionary, "").to_numpy(zero_copy_only=False)
+        row = np.full(len(full), -1)
+        row[full] = self.tokens.rows(slots.dictionary.filter(pa.array(full)))
+        who = row[slots.indices.to_numpy()].reshape(5, n).T
+        size = np.where(who >= 0, self.tokens.length[who], 0).sum(axis=1)
+        out = take_runs(self.tokens.flat, self.tokens.start, self.tokens.length, who[who >= 0])
+        if not others:
+            return out, size
+        both = np.zeros(len(ok), np.int64)
+        both[ok], both[~ok] = size, length
+        order = np.empty(len(ok), np.int64)  # plain parts first, as they are joined below
+        order[ok], order[~ok] = np.arange(n), n + np.arange(len(others))
+        own = np.concatenate((size, length))
+        return take_runs(np.concatenate((out, flat)), np.cumsum(own) - own, own, order), both
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, joined, and the texts' bounds among them: one more than there are texts. Null is as empty."""

@@ -141,7 +141,7 @@ def test_token_files_of_added_tokens_and_other_ids(spark):
             at += len(ids)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet=st.one_of(st.sampled_from(" \n\t.,'!?aZé3 \x00\x1c\xa0"), st.characters(codec="utf-8", max_codepoint=0x2FFF)), max_size=40), max_size=4))
 def test_parts_are_as_the_whole_library(texts):
     import pyarrow as pa
@@ -157,14 +157,14 @@ def test_parts_are_forgotten_and_learnt_again():
 
     calls = []
 
-    def learn(parts, lead):
+    def one(parts):
         calls.append(len(parts))
-        return np.array([ord(p[0]) for p in parts], np.uint32), np.ones(len(parts), np.int64)
+        return np.array([ord(p.strip()[0]) for p in parts], np.uint32), np.ones(len(parts), np.int64)
 
     from pixelframe.llm.pretokens import PartEncoder
 
-    e = PartEncoder(learn, lambda t: np.array([1, 2], np.uint32), most=3)
-    for text in ("a b c d e", "b c", "b f g h", "q b i j k", "  x", "a b\n", None, ""):
+    e = PartEncoder(one, one, lambda t: np.array([1, 2], np.uint32), most=3)
+    for text in ("a b c d e", "b c", "b f g h", "q b i j k", "  x", "3 b 4\n", None, ""):
         ids, edge = e.encode(pa.array([text, text], pa.string()))
         want = [] if not text else [1, 2] if text == "  x" else [ord(p[0]) for p in text.rstrip().split(" ")] + [1, 2] * text.endswith("\n")
         assert ids.tolist() == want * 2 and edge.tolist() == [0, len(want), 2 * len(want)]
