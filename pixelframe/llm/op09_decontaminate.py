@@ -14,21 +14,23 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import rows_of, ship_code
+from .common import drop_scratch, materialize, rows_of, ship_code
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, words of an n-gram, and share of n-grams that must be found.
 THRESHOLD, SHINGLE, OVERLAP = 0.6, 5, 0.8
 #: From so many words on a side keeps the share of n-grams after any one changed word.
 LONG = 30
-#: Blocks of items in an index, items in an index (a larger benchmark is searched with one index after another), and passages whose bounds are added up at once.
-BLOCKS, SHARD, SLAB = 64, 2000, 512
+#: Blocks of items in an index, items and words in an index at most (a larger benchmark is searched with one index after another), and passages whose bounds are added up at once.
+BLOCKS, SHARD, SHARD_WORDS, SLAB = 64, 20_000, 2_000_000, 512
 _word = re.compile(r"\w+").findall
 
 
@@ -72,18 +74,29 @@ def edits(side: list[str], words: list[str]) -> int:
     return least
 
 
+class Statistics(NamedTuple):
+    """Of a whole benchmark: items with words, their words, words of the longest, and in how many items each term is (of an index's own terms at least)."""
+
+    items: int
+    words: int
+    longest: int
+    df: dict[str, int]
+
+
 class Index:
-    """Postings by term in ascending item order, and each term's largest impact in every block of neighbouring items."""
+    """Postings by term in ascending item order, and each term's largest impact in every block of neighbouring items.
 
-    def __init__(self, items: list[tuple], blocks: int = BLOCKS, k1: float = K1, b: float = B):
+    Without statistics of the whole benchmark the items are taken to be all of it."""
+
+    def __init__(self, items: list[tuple], blocks: int = BLOCKS, k1: float = K1, b: float = B, whole: Statistics | None = None):
         kept = [(i, text, tokens(text)) for i, text in items]
         kept = [x for x in kept if x[2]]
         self.ids = [i for i, _, _ in kept]
         self.sides = [question_and_answer(text) for _, text, _ in kept]
         self.parts = [tuple(shingles(p) for p in sides) for sides in self.sides]
-        self.longest = max((len(w) for _, _, w in kept), default=0)
-        n, mean = len(kept), sum(len(w) for _, _, w in kept) / max(1, len(kept))
-        df = Counter(t for _, _, w in kept for t in set(w))
+        whole = whole or Statistics(len(kept), sum(len(w) for _, _, w in kept), max((len(w) for _, _, w in kept), default=0), Counter(t for _, _, w in kept for t in set(w)))
+        self.longest, df = whole.longest, whole.df
+        n, mean = whole.items, whole.words / max(1, whole.items)
         posting: dict[str, list[tuple[int, float]]] = {}
         for k, (_, _, w) in enumerate(kept):
             gain = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (k1 + 1) / (c + k1 * (1 - b + b * len(w) / mean)) for t, c in Counter(w).items()}
@@ -93,8 +106,8 @@ class Index:
         self.term = {t: k for k, t in enumerate(posting)}
         self.items = [[k for k, _ in p] for p in posting.values()]
         self.impacts = [[g for _, g in p] for p in posting.values()]
-        self.block = max(1, -(-n // blocks))
-        self.block_max = np.zeros((len(posting), max(1, -(-n // self.block))), np.float32)
+        self.block = max(1, -(-len(kept) // blocks))
+        self.block_max = np.zeros((len(posting), max(1, -(-len(kept) // self.block))), np.float32)
         for t, p in enumerate(posting.values()):
             for k, g in p:
                 at = k // self.block
@@ -189,59 +202,107 @@ class Index:
         return out
 
 
+def _terms(benchmark: DataFrame, text_col: str) -> DataFrame:
+    """(term, items, words, longest): in how many items each term is; and, of the null term, the number of items with words, their words and the longest's."""
+    ship_code(benchmark.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (texts,) in rows_of(batch):
+                found = [w for w in map(tokens, texts) if w]
+                df = Counter(t for w in found for t in set(w))
+                sizes = [len(w) for w in found]
+                cols = [[None, *df], [len(found), *df.values()], [sum(sizes), *[0] * len(df)], [max(sizes, default=0), *[0] * len(df)]]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["term", "items", "words", "longest"])
+
+    counted = benchmark.select(text_col).mapInArrow(run, "term string, items long, words long, longest long")
+    return counted.groupBy("term").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+
+
+def indexes(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
+    """Indexes of at most SHARD items and about SHARD_WORDS words each, with the statistics of the whole benchmark: scores do not depend on how many there are.
+
+    One index's items at a time are on the driver, and the counts of its own terms. Null and blank texts are left out."""
+    spark = benchmark.sparkSession
+    shard: list[tuple] = []
+    words, terms, total = 0, None, None
+
+    def made() -> Index:
+        nonlocal terms, total
+        if terms is None:
+            terms = materialize(_terms(benchmark, text_col), "terms")
+            total = terms.where("term is null").first()
+        own = [(t,) for t in sorted({t for _, text in shard for t in tokens(text)})]
+        df = {r["term"]: r["items"] for r in terms.join(F.broadcast(spark.createDataFrame(own, "term string")), "term").collect()}  # both bounded by the index's words
+        return Index(shard, whole=Statistics(total["items"], total["words"], total["longest"], df))
+
+    for row in benchmark.where(F.col(text_col).isNotNull()).select(item_col, text_col).orderBy(item_col, text_col).toLocalIterator():
+        n = len(tokens(row[1]))
+        if shard and n and (len(shard) == SHARD or words + n > SHARD_WORDS):
+            yield made()
+            shard, words = [], 0
+        if n:
+            shard.append(tuple(row))
+            words += n
+    yield made() if terms is not None else Index(shard)  # of one index, its own statistics are all
+    if terms is not None:
+        drop_scratch(terms)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id, item, score, question_overlap, answer_overlap) of every document and test item whose question and answer a passage of the document holds.
 
-    Test items go to the executors in indexes of at most SHARD items, one pass over the documents each; a benchmark of
-    any size is searched whole. Null and blank texts, of documents or items, match nothing; copies of an item each
-    match; a null id stays null; repeated rows are repeated; empty tables give an empty result. No shuffle."""
+    Test items go to the executors in indexes of bounded size, one pass over the documents each; a benchmark of any
+    size is searched whole, with the same scores as by one index. Null and blank texts, of documents or items, match
+    nothing; copies of an item each match; a null id of either stays null; repeated rows are repeated; other columns are
+    not read; empty tables give an empty result. No shuffle of documents."""
     spark = docs.sparkSession
     ship_code(spark)
     schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{item_col}` {benchmark.schema[item_col].dataType.simpleString()}, score double, question_overlap double, answer_overlap double"
-    names, item_type = [id_col, item_col, "score", "question_overlap", "answer_overlap"], benchmark.schema[item_col].dataType
-    found = None
-    items = benchmark.where(F.col(item_text_col).isNotNull()).select(item_col, item_text_col).orderBy(item_col, item_text_col).toLocalIterator()
-    shard: list[tuple] = []
+    names, kind = [id_col, item_col, "score", "question_overlap", "answer_overlap"], to_arrow_type(benchmark.schema[item_col].dataType)
 
-    def search(part: list[tuple]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(Index(part))
+    def search(index: Index) -> DataFrame:
+        sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = sent.value
-            kind = pa.int64() if item_type.simpleString() == "bigint" else None
+            own = sent.value
             for batch in batches:
                 for ids, texts in rows_of(batch):
-                    rows = [(i, index.ids[k], *v) for i, t in zip(ids, texts, strict=True) for k, v in sorted(index.find(t, threshold, overlap).items())]
+                    rows = [(i, own.ids[k], *v) for i, t in zip(ids, texts, strict=True) for k, v in sorted(own.find(t, threshold, overlap).items())]
                     if rows:
                         cols = [list(c) for c in zip(*rows, strict=True)]
                         yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], kind), *(pa.array(c, pa.float64()) for c in cols[2:])], names)
 
         return docs.select(id_col, text_col).mapInArrow(run, schema)
 
-    for row in items:
-        shard.append(tuple(row))
-        if len(shard) == SHARD:
-            found = search(shard) if found is None else found.unionAll(search(shard))
-            shard = []
-    if shard or found is None:
-        found = search(shard) if found is None else found.unionAll(search(shard))
+    found = None
+    for index in indexes(benchmark, item_col, item_text_col):
+        found = search(index) if found is None else found.unionAll(search(index))
     return found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The rows of docs that hold no test item, with the columns of docs. The decision is made as a row passes: no join."""
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs that hold no test item, with the columns of docs, whatever their names. The decision is made as a row passes: no join.
+
+    Null and blank texts hold nothing and stay, as do null ids; repeated rows are decided alike; empty tables leave docs
+    as it is. What one index of a larger benchmark leaves is written out before the next one's pass, so that an
+    executor holds one index at a time."""
     spark = docs.sparkSession
     ship_code(spark)
-    texts = benchmark.select("item_id", "text").where(F.col("text").isNotNull()).orderBy("item_id", "text")
-    threshold, overlap = parameters.get("threshold", THRESHOLD), parameters.get("overlap", OVERLAP)
-    shards, rows = [], [tuple(r) for r in texts.toLocalIterator()]
-    for at in range(0, len(rows), SHARD):
-        shards.append(spark.sparkContext.broadcast(Index(rows[at : at + SHARD])))
     place = docs.columns.index(text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [not any(s.value.find(t, threshold, overlap) for s in shards) for part in rows_of(batch.select([place])) for t in part[0]]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+    def without(left: DataFrame, index: Index) -> DataFrame:
+        sent = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            for batch in batches:
+                keep = [not own.find(t, threshold, overlap) for part in rows_of(batch.select([place])) for t in part[0]]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        return left.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    out = None
+    for index in indexes(benchmark, item_col, item_text_col):
+        out = without(docs if out is None else materialize(out, "uncontaminated"), index)
+    return out

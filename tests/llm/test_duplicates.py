@@ -211,7 +211,35 @@ def test_a_benchmark_in_several_indexes(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     held = {(d["doc_id"], b["item_id"]) for d in docs.collect() for b in bench.collect() if b["text"] in d["text"]}
     assert held and held <= set(whole)
+    one = sorted(map(tuple, queries.op9_decontamination(spark, sf_dir).collect()))
     monkeypatch.setattr(op09_decontaminate, "SHARD", 7)
-    assert sorted((r["doc_id"], r["item_id"]) for r in queries.op9_decontamination(spark, sf_dir).collect()) == whole
+    several = sorted(map(tuple, queries.op9_decontamination(spark, sf_dir).collect()))
+    assert [r[:2] for r in several] == [r[:2] for r in one] == whole and np.allclose([r[2:] for r in several], [r[2:] for r in one], rtol=0, atol=1e-12)
     assert op09_decontaminate.clean(docs, bench).count() == docs.count() - len({d for d, _ in whole})
     assert docs.select(F.count("*")).first()[0] > len(whole)
+
+
+def test_scores_do_not_depend_on_the_number_of_indexes(spark, monkeypatch):
+    """Items of one vocabulary, texts near the threshold: scores of many indexes are those of one, whatever the shard."""
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choices(words, k=rng.randint(8, 30)))) for k in range(90)] + [(90, None), (91, " .")]
+    texts = []
+    for k in range(40):
+        t = items[k][1].split()
+        for at in rng.sample(range(len(t)), len(t) * rng.randint(0, 4) // 10):
+            t[at] = "changed"
+        texts.append(" ".join(rng.choices(words, k=40) + t + rng.choices(words, k=40)))
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    one = op09_decontaminate.Index(items)
+    for limit, value in (("SHARD", 13), ("SHARD_WORDS", 200)):
+        monkeypatch.setattr(op09_decontaminate, limit, value)
+        many = list(op09_decontaminate.indexes(bench))
+        assert len(many) > 5 and sum(len(ix.ids) for ix in many) == len(one.ids)
+        for t in texts:
+            got = {ix.ids[k]: v for ix in many for k, v in ix.find(t, 0.4, 0.0).items()}
+            want = {one.ids[k]: v for k, v in one.find(t, 0.4, 0.0).items()}
+            assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], rtol=0, atol=1e-12) for i in want)
+        monkeypatch.undo()
+    out = op09_decontaminate.contaminated(spark.createDataFrame([("a", texts[0] + " " + items[3][1])], "key string, body string"), bench, id_col="key", text_col="body")
+    assert out.schema["item_id"].dataType.simpleString() == "int" and ("a", 3) in {tuple(r)[:2] for r in out.collect()}
