@@ -191,8 +191,9 @@ def clip_window(centre: Column, half: int, size: Column) -> tuple[Column, Column
 
 
 def matrix_multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Product of sparse matrices (i, j, v): an equi-join on the inner index and a sum that is combined before the shuffle."""
-    left, right = a.select("i", F.col("j").alias("k"), F.col("v").alias("_a")), b.select(F.col("i").alias("k"), "j", F.col("v").alias("_b"))
+    """Product of sparse matrices (i, j, v): repeated entries are summed first, so that the equi-join on the inner index meets each entry once."""
+    left = a.groupBy("i", F.col("j").alias("k")).agg(F.sum("v").alias("_a"))
+    right = b.groupBy(F.col("i").alias("k"), "j").agg(F.sum("v").alias("_b"))
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("_a") * F.col("_b")).alias("v"))
 
 
@@ -211,3 +212,32 @@ def matrix_scale(a: DataFrame, by: float) -> DataFrame:
 
 def matrix_diagonal(a: DataFrame) -> DataFrame:
     return a.where("i = j").select("i", "v")
+
+
+def whole_points(x: Column, y: Column) -> tuple[Column, Column]:
+    """A point with its coordinates cut off to whole numbers, towards zero."""
+    return x.cast("int"), y.cast("int")
+
+
+def line_pixels(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """The pixels of a line as an array of (y, x): one a step of the longer side, from the left end, the shorter side's place rounded, halves down."""
+    swap = x1 > x2
+    ax, ay, bx, by = (F.when(swap, q).otherwise(p) for p, q in ((x1, x2), (y1, y2), (x2, x1), (y2, y1)))
+    dx, dy = bx - ax, F.abs(by - ay)
+    up = F.when(by < ay, -1).otherwise(1)
+    far, near = F.greatest(dx, dy), F.least(dx, dy)
+    off = lambda k: F.floor(F.greatest(2 * k * near + far - 1, F.lit(0)) / F.greatest(2 * far, F.lit(1))).cast("int")
+    flat = dx >= dy
+    place = lambda k: F.struct((ay + up * F.when(flat, off(k)).otherwise(k)).cast("int").alias("y"), (ax + F.when(flat, k).otherwise(off(k))).cast("int").alias("x"))
+    return F.transform(F.sequence(F.lit(0), far.cast("int")), place)
+
+
+def seed_mask(polygons: DataFrame, height: int, width: int) -> DataFrame:
+    """(image_id, y, x, m) of images on which the closed outlines of polygons (image_id, polygon, points: array of (x, y)) are 0 and all else is 255. What lies outside the image is left out."""
+    n = F.size("points")
+    turn = polygons.where(n > 0).select("image_id", F.posexplode("points").alias("_k", "p"), F.col("points"))
+    edge = turn.select("image_id", "p", F.element_at("points", ((F.col("_k") + 1) % F.size("points") + 1)).alias("q"))
+    drawn = edge.select("image_id", F.explode(line_pixels(F.col("p.x"), F.col("p.y"), F.col("q.x"), F.col("q.y"))).alias("d")).select("image_id", "d.y", "d.x").distinct()
+    drawn = drawn.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).withColumn("_on", F.lit(True))
+    grid = polygons.select("image_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    return grid.join(drawn, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.when(F.col("_on"), 0).otherwise(255).alias("m"))

@@ -139,3 +139,19 @@ def flag_value(names: Column, flags: list[tuple[str, int]], default: int = 0) ->
 def number_in_name(name: Column) -> Column:
     """The first whole number in a file name, or null."""
     return F.regexp_extract(name, r"(\d+)", 1).try_cast("long")
+
+
+def lines(text: Column) -> Column:
+    """The lines of a text, without their ends; a line end at the text's end opens no further line."""
+    return F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")
+
+
+def split_at(text: Column, char: str) -> Column:
+    """The parts of a text between single characters, empty ones included."""
+    return F.split(text, re.escape(char))
+
+
+def config_text(text: Column) -> Column:
+    """The lines of a configuration as one line of arguments: blanks before them, blank lines and lines of a // comment are left out."""
+    kept = F.filter(F.transform(lines(text), lambda x: F.regexp_replace(x, r"^[ \t\n\x0B\f\r]+", "")), lambda x: (x != "") & ~x.startswith("//"))
+    return F.array_join(kept, " ")

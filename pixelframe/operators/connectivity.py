@@ -5,13 +5,17 @@ memory; components_by_image labels each image in one task with numpy, which is f
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..schema import PLACE, channels
-from ..scratch import drop_scratch, materialize
+from ..scratch import drop_scratch, materialize, numbered, ship_code
 
 #: Neighbours that come before a pixel in raster order, as (dy, dx), by the neighbour bit that stands for them.
 WEST, NORTH, NORTH_WEST, NORTH_EAST = (0, -1), (-1, 0), (-1, -1), (-1, 1)
@@ -19,31 +23,87 @@ FOUR, EIGHT = [WEST, NORTH], [WEST, NORTH, NORTH_WEST, NORTH_EAST]
 BITS = {WEST: 1, NORTH: 2, NORTH_WEST: 4, NORTH_EAST: 8}
 #: Distance of what no seed reaches. A fixed value.
 UNREACHED = 100_000_000
+#: What a predicate is told about the side that a neighbour lies on. Fixed values.
+SIDES = {WEST: 0, NORTH: 2}
+#: Edges that a task links up at once before the rounds, about.
+LOCAL_EDGES = 1 << 20
+
+
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest node that each of n nodes can reach over the links (a, b)."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        while (label[label] != label).any():
+            label = label[label]
+        differ = label[a] != label[b]
+        a, b = a[differ], b[differ]
+    return label
+
+
+def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task replaced, a bounded number at a time, by links to the smallest node that they reach."""
+    held: list[np.ndarray] = []
+
+    def linked() -> pa.RecordBatch:
+        node, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        at = at.reshape(2, -1)
+        root = forest(len(node), at[0], at[1])
+        moved = np.flatnonzero(root != np.arange(len(node)))
+        return pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[root[moved]])], ["u", "v"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column(k).to_numpy() for k in range(2)]))
+        if sum(h.shape[1] for h in held) >= LOCAL_EDGES:
+            yield linked()
+            held = []
+    if held:
+        yield linked()
+
+
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Link every larger neighbour of u to the smallest of u and its neighbours."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """Link u and its smaller neighbours to the smallest of them."""
+    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    return down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _state(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def star_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) from edges (u, v): component is the smallest node that can be reached. Nodes without an edge to another are not in the result.
+    """(node, component) from edges (u, v): component is the smallest node that can be reached. Nodes without an edge to another are not in the result; edges with a null end are ignored.
 
-    Each round links every neighbour to its smallest, first the larger ones, then the smaller; three numbers a round
-    tell if anything has changed."""
+    Each task first links its own edges up (ids that are whole numbers only). Then each round links every neighbour to
+    its smallest, first the larger ones, then the smaller; two numbers a round tell if anything has changed. Every
+    round's edges are written to the shared folder, so that lost executors cost no lineage."""
     e = edges.select("u", "v").where("u <> v")
-    now, before = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"), None
+    if isinstance(e.schema["u"].dataType, IntegralType):
+        ship_code(edges.sparkSession)
+        e = e.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_local_forest, "u long, v long")
+    now = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    state = _state(now)
     for _ in range(rounds):
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if not state[0] or state == before:
+        if not state[0]:
             break
-        before = state
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        after = materialize(small, "edges")
+        after = materialize(_small_star(_large_star(now)), "edges")
         drop_scratch(now)
-        now = after
+        now, before, state = after, state, _state(after)
+        if state == before:
+            break
     else:
         raise RuntimeError(f"no fixpoint after {rounds} rounds")
+    # All are stars now: each non-root has one edge, to the smallest node of its component.
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -59,7 +119,7 @@ def merge_classes(pairs: DataFrame, classes: DataFrame, keep: bool = False) -> D
 
 def number_classes(named: DataFrame, node: str, root: str) -> DataFrame:
     """Roots replaced by their rank. Roots alone are ranked, not all nodes."""
-    rank = named.select(root).distinct().withColumn("class", (F.row_number().over(Window.orderBy(root)) - 1).cast("long"))
+    rank = numbered(named.select(root).distinct(), [root], "class")
     return named.join(rank, root).select(node, "class")
 
 
@@ -75,8 +135,15 @@ def alike(threshold: int):
     return lambda a, b: sum(((x - y) * (x - y) for x, y in zip(a[1:], b[1:], strict=True)), (a[0] - b[0]) * (a[0] - b[0])) < threshold
 
 
+def by_side(linked: dict[int, Callable]) -> Callable:
+    """A predicate for each side: linked[side](own, neighbour)."""
+    predicate = lambda a, b, side: linked[side](a, b)
+    predicate.sided = True  # type: ignore[attr-defined]
+    return predicate
+
+
 def pixel_edges(df: DataFrame, offsets: list[tuple[int, int]], linked=same, width: int | None = None) -> DataFrame:
-    """(image_id, u, v) of linked neighbours, by pixel id y * width + x. Neighbours come from windows along rows, columns and diagonals: nothing is joined."""
+    """(image_id, u, v) of linked neighbours, by pixel id y * width + x. Neighbours come from windows along rows, columns and diagonals: nothing is joined. linked may differ by side, see by_side()."""
     cs = channels(df.columns) or ["m"]
     lines = {WEST: ("y", "x"), NORTH: ("x", "y"), NORTH_WEST: (F.col("y") - F.col("x"), "y"), NORTH_EAST: (F.col("y") + F.col("x"), "y")}
     seen, w = df, F.lit(width) if width else F.lit(1 << 20)
@@ -86,7 +153,8 @@ def pixel_edges(df: DataFrame, offsets: list[tuple[int, int]], linked=same, widt
         # a gap in the relation (pixels that were filtered out) is no neighbour
         seen = seen.withColumns({f"_{k}_{c}": F.when(F.lag(along).over(line) == F.col(along) - 1, F.lag(c).over(line)) for c in cs})
     own = [F.col(c) for c in cs]
-    marks = [F.when(linked(own, [F.col(f"_{k}_{c}") for c in cs]), F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))) for k, (dy, dx) in enumerate(offsets)]
+    told = lambda o: (SIDES[o],) if getattr(linked, "sided", False) else ()
+    marks = [F.when(linked(own, [F.col(f"_{k}_{c}") for c in cs], *told((dy, dx))), F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"))) for k, (dy, dx) in enumerate(offsets)]
     hit = seen.select("image_id", (F.col("y") * w + F.col("x")).cast("long").alias("u"), F.explode(F.array_compact(F.array(*marks))).alias("p"))
     return hit.select("image_id", "u", (F.col("p.y") * w + F.col("p.x")).cast("long").alias("v"))
 
@@ -113,27 +181,19 @@ def components(df: DataFrame, width: int, offsets: list[tuple[int, int]] = FOUR,
 def _label_grid(planes: np.ndarray, valid: np.ndarray, offsets: list[tuple[int, int]], linked) -> np.ndarray:
     """Smallest pixel id of each pixel's component; planes is channels by height by width."""
     _, h, w = planes.shape
-    label, pairs = np.arange(h * w), []
-    at = label.reshape(h, w)
+    pairs = []
+    at = np.arange(h * w).reshape(h, w)
     for dy, dx in offsets:
         ys, xs = slice(-dy, h), slice(max(0, -dx), w - max(0, dx))
         yn, xn = slice(0, h + dy), slice(max(0, dx), w + min(0, dx))
         ok = linked(planes[:, ys, xs], planes[:, yn, xn]) & valid[ys, xs] & valid[yn, xn]
         pairs.append((at[ys, xs][ok], at[yn, xn][ok]))
-    a, b = (np.concatenate(p) for p in zip(*pairs, strict=True))
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], least)
-        np.minimum.at(label, label[b], least)
-        while (label[label] != label).any():
-            label = label[label]
-        keep = label[a] != label[b]
-        a, b = a[keep], b[keep]
-    return label.reshape(h, w)
+    return forest(h * w, *(np.concatenate(p) for p in zip(*pairs, strict=True))).reshape(h, w)
 
 
 def components_by_image(df: DataFrame, offsets: list[tuple[int, int]] = FOUR, threshold: int | None = None) -> DataFrame:
     """As components, one image a task: an image must fit in a task's memory, at some 40 bytes a pixel."""
+    ship_code(df.sparkSession)
     cs = channels(df.columns) or ["m"]
     linked = (lambda a, b: (a == b).all(axis=0)) if threshold is None else (lambda a, b: ((a - b) ** 2).sum(axis=0) < threshold)
 
@@ -194,6 +254,7 @@ def geodesic_distance(weights: DataFrame, seeds: DataFrame, value: int = 1, roun
 
     The number of rounds is part of the result's definition: a path that turns more often may not be found yet. One
     image a task. with_source carries the place of the nearest seed, and is meant for one round."""
+    ship_code(weights.sparkSession)
     both = weights.join(seeds.select(*PLACE, "m"), PLACE)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

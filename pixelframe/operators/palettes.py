@@ -9,10 +9,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import PLACE
+from ..scratch import ship_code
 from .aggregates import color_histogram
 
 #: Bits of red, green and blue in a histogram cell, and weights of their distances. Fixed values.
@@ -101,6 +102,7 @@ def error_limit() -> np.ndarray:
 
 def dither(df: DataFrame, palette: list[tuple[int, int, int]]) -> DataFrame:
     """(image_id, y, x, idx) with error diffusion (7, 3, 5, 1 sixteenths), rows in turn from left and from right. Sequential within an image: one image a task."""
+    ship_code(df.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"])
@@ -167,3 +169,19 @@ def optimise_palette(indexed: DataFrame) -> DataFrame:
     from .aggregates import usage
 
     return indexed.join(usage(indexed, "idx").select("image_id", "idx", "place"), ["image_id", "idx"]).select(*PLACE, F.col("place").alias("idx"))
+
+
+def gray_palette(n: int = 256) -> list[tuple[int, int, int]]:
+    """n grays from black to white."""
+    return [(v, v, v) for v in (k * 255 // max(1, n - 1) for k in range(n))]
+
+
+def is_color_palette(palette: DataFrame) -> DataFrame:
+    """(is_color) of a palette (idx, r, g, b): whether any entry is not gray."""
+    return palette.agg(F.coalesce(F.bool_or((F.col("b") != F.col("g")) | (F.col("b") != F.col("r"))), F.lit(False)).alias("is_color"))
+
+
+def color_table(label: Column) -> list[Column]:
+    """Red, green and blue of a label: a fixed table of our own by rule, distinct for the first 256 labels."""
+    k = F.pmod(label, F.lit(256))
+    return [F.pmod(k * 67 + 29, F.lit(256)), F.pmod(k * 131 + 71, F.lit(256)), F.pmod(k * 197 + 113, F.lit(256))]

@@ -12,21 +12,22 @@ from ..schema import PLACE
 QUERY_BLOCK = 1000
 
 
-def nearest(queries: DataFrame, train: DataFrame, k: int, mask: Column | None = None) -> DataFrame:
+def nearest(queries: DataFrame, train: DataFrame, k: int, mask: Column | None = None, others: bool = False) -> DataFrame:
     """(query_id, rank, train_id, dist) of the k nearest training vectors by squared distance; ties go to the lower id.
 
-    queries and train are (id, v). The queries, a stated set, are sent out in blocks of QUERY_BLOCK and meet every
-    training row where it lies; only each task's own k best a query are shuffled. mask, if given, selects training
-    rows."""
+    queries and train are (id, v). The queries, a stated set, are dealt by a hash to blocks of about QUERY_BLOCK, which
+    are sent out one after another and meet every training row where it lies. mask, if given, selects training rows;
+    others leaves out the row that has the query's own id."""
     from functools import reduce
 
     rows = train if mask is None else train.where(mask)
-    n = queries.count()
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     out = []
-    for at in range(0, max(n, 1), QUERY_BLOCK):
-        block = queries if n <= QUERY_BLOCK else queries.withColumn("_n", F.row_number().over(Window.orderBy("id"))).where(F.col("_n").between(at + 1, at + QUERY_BLOCK)).drop("_n")
+    for b in range(blocks):
+        block = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
         sent = F.broadcast(block.select(F.col("id").alias("query_id"), F.col("v").alias("_q")))
-        met = rows.crossJoin(sent).select("query_id", F.col("id").alias("train_id"), squared_distance(F.col("_q"), F.col("v")).alias("dist"))
+        met = rows.crossJoin(sent)
+        met = (met.where(F.col("id") != F.col("query_id")) if others else met).select("query_id", F.col("id").alias("train_id"), squared_distance(F.col("_q"), F.col("v")).alias("dist"))
         out.append(met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "train_id"))).where(F.col("rank") <= k))
     return reduce(lambda a, b: a.unionByName(b), out).select("query_id", "rank", "train_id", "dist")
 

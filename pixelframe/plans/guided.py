@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pixels import image_difference
 from ..schema import PLACE, channels
+from ..scratch import ship_code
 
 _KEY = ["image_id"]
 OFFSETS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
@@ -261,6 +262,7 @@ def fit_refined(large: DataFrame, ratio: float, least_error: int = 30, least_siz
 
     Regions of large error are fitted anew one after another, each seeing what the ones before it have changed: an
     image is one task and must fit in its memory, at some 300 bytes a pixel. Parallelism is over images."""
+    ship_code(large.sparkSession)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"])

@@ -35,6 +35,12 @@ def cc_n4_threshold(spark, sf_dir):
     return c.components(grids.gray(spark, sf_dir), grids.WIDTH, c.FOUR, c.alike(64)).select("y", "x", "label")
 
 
+@query(f"with recursive {grids.GRAY}, n as (select y, x, c0, (y * 64 + x)::bigint as p from gray), e as (select a.p as s, b.p as t from n a join n b on (a.y = b.y and abs(a.x - b.x) = 1 and (a.c0 - b.c0) * (a.c0 - b.c0) < 16) or (a.x = b.x and abs(a.y - b.y) = 1 and a.c0 = b.c0)), {_WALK} select n.y, n.x, out.label from n join out using (p)")
+def cc_n4_by_side(spark, sf_dir):
+    """Components whose pixels are linked by one rule to the side and by another upwards."""
+    return c.components(grids.gray(spark, sf_dir), grids.WIDTH, c.FOUR, c.by_side({0: c.alike(16), 2: c.same})).select("y", "x", "label")
+
+
 @query(f"with recursive {grids.MASK}, n as (select y, x, (y * 64 + x)::bigint as p from mask where m = 1), e0 as (select a.p as s, b.p as t from n a join n b on ((a.y = b.y and a.x = b.x + 1) or (a.x = b.x and a.y = b.y + 1 and a.x % 2 = 0))), e as (select s, t from e0 union select t, s from e0), {_WALK} select n.y, n.x, out.label from n join out using (p)")
 def cc_neighbour_bits(spark, sf_dir):
     """Components where each pixel's bits name its linked neighbours."""
@@ -87,12 +93,13 @@ def _tiles(spark, sf_dir):
     return g, seeds
 
 
-@query("select (vec_id // 50)::bigint as image_id, (vec_id % 50)::int as y, x::int as x, (abs(vec_id % 50 - 3) + abs(x - 2))::bigint as dist from embeddings, range(0, 64) t(x) where vec_id < 500 and vec_id % 50 > 0 and x > 0 and vec_id % 50 < 49 and x < 63")
+@query("select (vec_id // 50)::bigint as image_id, (vec_id % 50)::int as y, x::int as x, case when h > 3 then abs(vec_id % 50 - 3) + abs(x - 2) else 100000000 end::bigint as dist from (select vec_id, count(*) over (partition by vec_id // 50) as h from embeddings), range(0, 64) t(x) where vec_id % 50 > 0 and x > 0 and vec_id % 50 < h - 1 and x < 63")
 def geodesic_l1_distance(spark, sf_dir):
-    """Distances to a seed with unit steps, away from the border: city-block distances."""
+    """Distances to a seed with unit steps, away from each tile's border: city-block distances, or none in a tile too low for the seed."""
     g, seeds = _tiles(spark, sf_dir)
     d = c.geodesic_distance(c.uniform_weights(g), seeds, 1)
-    return d.where("y > 0 and y < 49 and x > 0 and x < 63 and image_id < 10")
+    height = g.groupBy("image_id").agg((F.max("y") + 1).alias("h"))  # the last tile may be lower
+    return d.join(height, "image_id").where("y > 0 and y < h - 1 and x > 0 and x < 63").drop("h")
 
 
 @query()

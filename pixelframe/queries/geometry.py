@@ -87,10 +87,10 @@ def point_in_rect(spark, sf_dir):
     return _rects(spark, sf_dir).select("id", g.in_rect(F.col("x2"), F.col("y2"), a).alias("inside"), g.in_size(F.col("x2"), F.col("y2"), 20, 15).alias("in_image"))
 
 
-@query("select a.l_orderkey % 20 as i, b.l_suppkey % 15 as j, sum((a.l_quantity) * (b.l_linenumber))::double as v from lineitem a join lineitem b on a.l_partkey % 30 = b.l_partkey % 30 where a.l_orderkey < 200 and b.l_orderkey < 200 group by 1, 2")
+@query("with a as (select l_orderkey % 20 as i, l_partkey % 30 as k, sum(l_quantity) as x from lineitem group by 1, 2), b as (select l_partkey % 30 as k, l_suppkey % 15 as j, sum(l_linenumber)::double as y from lineitem group by 1, 2) select i, j, sum(x * y)::double as v from a join b using (k) group by 1, 2")
 def matrix_multiply(spark, sf_dir):
     """Product of two sparse matrices with repeated entries."""
-    t = grids.table(spark, sf_dir, "lineitem").where("l_orderkey < 200")
+    t = grids.table(spark, sf_dir, "lineitem")
     a = t.select((F.col("l_orderkey") % 20).alias("i"), (F.col("l_partkey") % 30).alias("j"), F.col("l_quantity").alias("v"))
     b = t.select((F.col("l_partkey") % 30).alias("i"), (F.col("l_suppkey") % 15).alias("j"), F.col("l_linenumber").cast("double").alias("v"))
     return g.matrix_multiply(a, b)

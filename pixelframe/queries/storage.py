@@ -107,11 +107,7 @@ def gif_round_trip(spark, sf_dir):
     tiles = _tiles(spark, sf_dir, True)
     whole = tiles.groupBy("image_id").agg(F.max("y").alias("_h")).where("_h = 49").select("image_id")
     gif = images.encode_gif(palettes.quantise(tiles.join(whole, "image_id"), PALETTE), PALETTE)
-    frames = images.decode_column(gif.select(F.lit(0).alias("frame"), "content"))
-    from pyspark.sql import Window
-
-    numbered = frames.withColumn("frame", (F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("int"))
-    return images.explode(numbered)
+    return images.explode(images.decode_column(gif.select(F.lit(0).alias("frame"), "content")))
 
 
 @query("select k::bigint as image_id, y::int as y, x::int as x, ((k * 7 + y * 3 + x) % 256)::int as c0 from range(0, 6) a(k), range(0, 5) b(y), range(0, 9) c(x) where k <> 3")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..registry import query
+from ..scratch import numbered
 from ..sources import grids
 
 _PATH = "p as (select event_id as id, '/data//' || event_type || '/run' || (event_id % 13) || '\\img' || event_id || '.PNG' as path from events)"
@@ -21,22 +22,20 @@ def path_parts(spark, sf_dir):
     return _paths(spark, sf_dir).select("id", t.directory(p).alias("dir"), t.file_name(p).alias("name"), t.file_name(p, False).alias("stem"), t.extension(p).alias("ext"), t.revise(p).alias("revised"))
 
 
-@query("with n as (select event_id as id, event_type || case when event_id % 10 = 0 then '' else (event_id % 1000)::varchar end as name from events) select id, name, case when regexp_matches(name, '[0-9]') then regexp_extract(name, '([0-9]+)', 1)::bigint end as number, (row_number() over (order by case when regexp_matches(name, '[0-9]') then regexp_extract(name, '([0-9]+)', 1)::bigint end nulls first, name, id) - 1)::int as place from n where id < 500")
+@query("with n as (select event_id as id, event_type || case when event_id % 10 = 0 then '' else (event_id % 1000)::varchar end as name from events) select id, name, case when regexp_matches(name, '[0-9]') then regexp_extract(name, '([0-9]+)', 1)::bigint end as number, (row_number() over (order by case when regexp_matches(name, '[0-9]') then regexp_extract(name, '([0-9]+)', 1)::bigint end nulls first, name, id) - 1)::bigint as place from n")
 def file_numeric_order(spark, sf_dir):
     """Names in order of the number in them."""
-    from pyspark.sql import Window
-
     i = F.col("event_id")
-    n = grids.table(spark, sf_dir, "events").where(i < 500).select(i.alias("id"), F.concat("event_type", F.when(i % 10 == 0, F.lit("")).otherwise((i % 1000).cast("string"))).alias("name"))
+    n = grids.table(spark, sf_dir, "events").select(i.alias("id"), F.concat("event_type", F.when(i % 10 == 0, F.lit("")).otherwise((i % 1000).cast("string"))).alias("name"))
     n = n.withColumn("number", t.number_in_name(F.col("name")))
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.col("number").asc_nulls_first(), "name", "id")) - 1)
+    return numbered(n, [F.col("number").asc_nulls_first(), F.col("name"), F.col("id")], "place")
 
 
-@query("select doc_id, lower(substr(text, 1, 40)) as low, upper(replace(substr(text, 1, 40), 'ß', 's')) as up, regexp_extract(text, '^[ \\t\\r\\n]*([^ \\t\\r\\n]*)', 1) as word, regexp_replace(text, '^[ \\t\\r\\n]+', '') as skipped, instr(text, 'th') - 1 as pair from documents")
+@query("select doc_id, lower(text) as low, upper(replace(text, 'ß', 's')) as up, regexp_extract(text, '^[ \\t\\r\\n]*([^ \\t\\r\\n]*)', 1) as word, regexp_replace(text, '^[ \\t\\r\\n]+', '') as skipped, instr(text, 'th') - 1 as pair from documents")
 def string_case_and_skip(spark, sf_dir):
     """Case, first word, skipped blanks, place of a pair of characters."""
     s = F.col("text")
-    return grids.table(spark, sf_dir, "documents").select("doc_id", F.lower(F.substring(s, 1, 40)).alias("low"), F.upper(F.translate(F.substring(s, 1, 40), "ß", "s")).alias("up"), t.first_word(s).alias("word"), t.skip_space(s).alias("skipped"), t.find_pair(s, "t", "h").cast("long").alias("pair"))
+    return grids.table(spark, sf_dir, "documents").select("doc_id", F.lower(s).alias("low"), F.upper(F.translate(s, "ß", "s")).alias("up"), t.first_word(s).alias("word"), t.skip_space(s).alias("skipped"), t.find_pair(s, "t", "h").cast("long").alias("pair"))
 
 
 @query("select event_id as id, case event_id % 4 when 0 then 4 when 1 then 9 when 2 then -1 else 1 end::int as place from events")

@@ -18,7 +18,7 @@ class Query:
 
 
 _QUERIES: dict[str, Query] = {}
-_MODULES = ("guided", "pixels", "aggregates", "neighbourhood", "resampling", "similarity", "geometry", "text", "storage", "connectivity", "palettes", "extensions")
+_MODULES = ("guided", "pixels", "aggregates", "neighbourhood", "resampling", "similarity", "geometry", "text", "storage", "connectivity", "palettes", "files", "extensions")
 
 
 def query(oracle: str | None = None, name: str | None = None) -> Callable:
@@ -58,8 +58,12 @@ def find(name: str) -> Query:
 
 
 def execute(command: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run 'name' given as a command line; what follows the name is left to the query's defaults."""
-    return find(command.strip().split(None, 1)[0]).run(spark, sf_dir)
+    """Run a command line: a query's name and arguments (`-name value`), which go to the query's parameters of those names. Raises TypeError for arguments that it does not have."""
+    from .functions.text import parse_arguments
+
+    name, _, rest = command.strip().partition(" ")
+    given = {k: v[0] if len(v) == 1 else v for k, v in parse_arguments(rest).items()}
+    return find(name).run(spark, sf_dir, **given)
 
 
 def listing(prefix: str = "") -> list[tuple[str, str]]:

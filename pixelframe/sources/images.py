@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import extension, file_name, number_in_name
 from ..schema import IMAGE_SCHEMA, PLACE, channels
+from ..scratch import numbered, ship_code
 from . import codecs
 
 #: OpenCV-style mode of 8-bit images by channel count. Fixed values.
@@ -56,15 +57,24 @@ def list_files(spark: SparkSession, path: str, ext: str = "") -> DataFrame:
 
 def order_names(files: DataFrame) -> DataFrame:
     """Add place to (path, name)."""
-    numbered = files.withColumn("_n", number_in_name(F.col("name")))
-    every = numbered.agg(F.count_if(F.col("_n").isNull()).alias("_missing"))
-    return numbered.crossJoin(F.broadcast(every)).withColumn("place", F.row_number().over(Window.orderBy(F.when(F.col("_missing") == 0, F.col("_n")), "name", "path")) - 1).drop("_n", "_missing")
+    named = files.withColumn("_n", number_in_name(F.col("name")))
+    every = named.agg(F.count_if(F.col("_n").isNull()).alias("_missing"))
+    keyed = named.crossJoin(F.broadcast(every)).withColumn("_n", F.when(F.col("_missing") == 0, F.col("_n"))).drop("_missing")
+    return numbered(keyed, ["_n", "name", "path"], "place").drop("_n")
 
 
 def read_images(spark: SparkSession, path: str, n_channels: int | None = None, set_id: str = "set") -> DataFrame:
-    """Frames (FRAME_SCHEMA) of all image files at path (a folder, a glob or a file), decoded on the executors. n_channels forces a channel count."""
+    """Frames (FRAME_SCHEMA) of all image files at path (a folder, a glob or a file), decoded on the executors. n_channels forces a channel count.
+
+    Files' places and numbers of frames are found first, so that no image goes through a shuffle to be numbered."""
+    ship_code(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(codecs.read_gif(d.as_py())) if d.as_py()[:3] == b"GIF" else 1 for d in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["path", "frames"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -74,9 +84,11 @@ def read_images(spark: SparkSession, path: str, n_channels: int | None = None, s
                 yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("sub", pa.int32()), ("delay", pa.int32()), ("image", pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())]))]))
 
     decoded = files.mapInArrow(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("sub", T.IntegerType()), T.StructField("delay", T.IntegerType()), T.StructField("image", IMAGE_SCHEMA)]))
-    order = order_names(files.select("path").withColumn("name", file_name(F.col("path")))).select("path", "name", "place")
+    counted = files.mapInArrow(count, "path string, frames long")
+    order = order_names(counted.withColumn("name", file_name(F.col("path"))))
+    order = numbered(order, ["place"], "first", "frames").select("path", "name", "first")
     joined = decoded.join(order, "path")
-    return joined.select(F.lit(set_id).alias("set_id"), (F.row_number().over(Window.orderBy("place", "sub")) - 1).alias("frame"), "name", "delay", "image")
+    return joined.select(F.lit(set_id).alias("set_id"), (F.col("first") + F.col("sub")).cast("int").alias("frame"), "name", "delay", "image")
 
 
 def force_channels(image: np.ndarray, n: int | None) -> np.ndarray:
@@ -118,6 +130,7 @@ def from_arrays(spark: SparkSession, images: list[np.ndarray], title: str = "")
 
 def generate(spark: SparkSession, n: int, make: Callable[[int], np.ndarray | None], title: str = "generated") -> DataFrame:
     """Frames 0 to n - 1 that make(k) gives, on the executors; None is no frame."""
+    ship_code(spark)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -129,6 +142,8 @@ def generate(spark: SparkSession, n: int, make: Callable[[int], np.ndarray | Non
 
 def explode(frames: DataFrame) -> DataFrame:
     """Packed frames of one channel count to pixels: (image_id, y, x, c0, ...), image_id the frame's number."""
+    ship_code(frames.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -148,6 +163,7 @@ def explode(frames: DataFrame) -> DataFrame:
 
 def pack(pixels: DataFrame, set_id: str = "packed") -> DataFrame:
     """Pixels to packed frames, one image a task; pixels that are missing are 0."""
+    ship_code(pixels.sparkSession)
     cs = channels(pixels.columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -162,6 +178,7 @@ def pack(pixels: DataFrame, set_id: str = "packed") -> DataFrame:
 
 def encode(frames: DataFrame, form: str) -> DataFrame:
     """(frame, content): each frame as the bytes of a bmp, png or matrix file."""
+    ship_code(frames.sparkSession)
     write = {"bmp": codecs.write_bmp, "png": codecs.write_png, "matrix": codecs.write_matrix}[form]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +190,12 @@ def encode(frames: DataFrame, form: str) -> DataFrame:
 
 
 def decode_column(contents: DataFrame, set_id: str = "decoded") -> DataFrame:
-    """(frame, content) to packed frames."""
+    """(frame, content) to packed frames: those of a file are numbered from the file's own number."""
+    ship_code(contents.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(set_id, int(k), f"{int(k):03d}", d, packed(None, im)) for k, body in zip(batch["frame"], batch["content"], strict=True) for d, im in decode(str(k), bytes(body))]
+            rows = [(set_id, int(k) + j, f"{int(k) + j:03d}", d, packed(None, im)) for k, body in zip(batch["frame"], batch["content"], strict=True) for j, (d, im) in enumerate(decode(str(k), bytes(body)))]
             yield pd.DataFrame(rows, columns=["set_id", "frame", "name", "delay", "image"])
 
     return contents.select("frame", "content").mapInPandas(run, FRAME_SCHEMA)
@@ -187,6 +205,7 @@ def encode_gif(pixels: DataFrame, palette: list[tuple[int, int, int]], delay: in
     """(set_id, content): all images of pixels (image_id, y, x, idx) as the frames of one animation, in order of image_id. One file is one task's work."""
     from ..operators.palettes import nearest_entry
 
+    ship_code(pixels.sparkSession)
     clear = nearest_entry(palette, transparent)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,3 +217,28 @@ def encode_gif(pixels: DataFrame, palette: list[tuple[int, int, int]], delay: in
         return pd.DataFrame({"set_id": ["gif"], "content": [codecs.write_gif(frames, palette, delay, clear)]})
 
     return pixels.select(F.lit("gif").alias("set_id"), *PLACE, "idx").groupBy("set_id").applyInPandas(run, "set_id string, content binary")
+
+
+def write_files(contents: DataFrame, folder: str, ext: str, stem: str = "img") -> DataFrame:
+    """(path, size): each content of (frame, content) as a file stem<frame>.ext in folder, a URI that driver and executors share. A file appears under its name only when it is whole."""
+    import uuid
+
+    ship_code(contents.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        where, top = fs.FileSystem.from_uri(folder)
+        where.create_dir(top, recursive=True)
+        for batch in batches:
+            rows = []
+            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                name = f"{stem}{k}.{ext}"
+                with where.open_output_stream(tmp := f"{top}/_{name}.{uuid.uuid4().hex}") as out:
+                    out.write(body)
+                where.move(tmp, f"{top}/{name}")
+                rows.append((f"{folder}/{name}", len(body)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "size"])
+
+    return contents.select("frame", "content").mapInArrow(run, "path string, size long")

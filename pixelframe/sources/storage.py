@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import numbered
+
 
 def upsert(existing: DataFrame, new: DataFrame, key: str, overwrite: bool = True) -> DataFrame:
     """Rows of both; of a key in both, the new row if overwrite, else the old one. One shuffle on the key."""
@@ -25,14 +27,8 @@ def delete(existing: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 
 
 def surrogate_ids(df: DataFrame, key: str) -> DataFrame:
-    """(key, id): distinct keys numbered from 1 in order of key.
-
-    Numbered within range partitions, then moved on by the counts of the partitions before: no task sees all keys."""
-    ranged = df.select(key).distinct().repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    own = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(key)))
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = counts.select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_b"))
-    return own.join(before, "_p").select(key, (F.col("_n") + F.col("_b")).alias("id"))
+    """(key, id): distinct keys numbered from 1 in order of key."""
+    return numbered(df.select(key).distinct(), [key], "_n").select(key, (F.col("_n") + 1).alias("id"))
 
 
 def signature(df: DataFrame) -> str:

@@ -220,3 +220,25 @@ def test_images_of_several_ids_do_not_mix(spark):
     both = image(spark, a, 0).unionByName(image(spark, b, 1))
     sums = {r["image_id"]: r["c0"] for r in neighborhood.box_sum(both, 3, 3).where((F.col("y") == 1) & (F.col("x") == 1)).collect()}
     assert sums == {0: 36, 1: 360}
+
+
+def test_numbered(spark):
+    from pixelframe.scratch import numbered
+
+    df = spark.range(1000).selectExpr("(id * 7919) % 1000 as k", "id % 5 as w").repartition(7)
+    out = {r["k"]: (r["n"], r["w"]) for r in numbered(df, ["k"], "n").collect()}
+    assert {k: n for k, (n, _) in out.items()} == {k: k for k in range(1000)}
+    before = {r["k"]: r["s"] for r in numbered(df, ["k"], "s", "w").collect()}
+    assert all(before[k] == sum(out[j][1] for j in range(k)) for k in range(0, 1000, 97))
+    assert numbered(df.where("k < 0"), ["k"], "n").count() == 0
+
+
+def test_components_of_a_long_path_in_small_pieces(spark, monkeypatch):
+    from pixelframe.operators import connectivity
+
+    monkeypatch.setattr(connectivity, "LOCAL_EDGES", 16)
+    edges = spark.range(0, 400).selectExpr("id as u", "id + 1 as v").union(spark.createDataFrame([(500, 501), (501, 502), (7, None), (9, 9)], "u long, v long")).repartition(5)
+    found = {r["node"]: r["component"] for r in connectivity.star_components(edges).collect()}
+    assert found == {k: 0 for k in range(401)} | {500: 500, 501: 500, 502: 500}
+    names = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "y")], "u string, v string")
+    assert {r["node"]: r["component"] for r in connectivity.star_components(names).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}

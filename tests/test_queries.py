@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
 #: A query of each kind; the driver compares all of them.
-SOME = "grid_rgb threshold_ge alpha_blend_image flow_warp box_mean_replicate gaussian_general max_filter_wide integral_image resize_bl_fixed up2_bl sample_cubic color_histogram region_mean knn_masked palette_assign quantize cc_n8_equal merge_eq_class geodesic_weights path_parts arg_get kv_upsert bmp_color_round_trip matrix_multiply glu_plan_fast glu_upsample ext_rollup op1_sharding".split()
+SOME = "grid_rgb threshold_ge alpha_blend_image flow_warp box_mean_replicate gaussian_general max_filter_wide integral_image resize_bl_fixed up2_bl sample_cubic color_histogram region_mean knn_masked palette_assign quantize cc_n8_equal merge_eq_class geodesic_weights path_parts arg_get kv_upsert bmp_color_round_trip matrix_multiply glu_plan_fast glu_upsample ext_rollup cc_n4_by_side image_files keyed_store config_lines seed_polygons file_numeric_order matrix_sums op1_sharding".split()
 
 
 def plain(v):
@@ -45,3 +45,50 @@ def test_query(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_core_queries_need_no_path_on_the_workers(tmp_path):
+    """Run apart, without the repository on the workers' path: the package goes with the session."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys
+sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as e
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").getOrCreate()
+for n in ("packed_round_trip", "cc_n8_equal", "geodesic_l1_distance", "generated_frames"):
+    assert e.queries()[n](spark, {SF!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_no_shared_folder_on_a_cluster():
+    from pixelframe import scratch
+
+    class Cluster:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getConf = staticmethod(lambda: {})
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_root(Cluster)
+
+
+def test_commands_take_arguments():
+    from pixelframe import registry
+
+    q = registry.Query("probe_query", lambda spark, sf_dir, n="0", m="": (spark, sf_dir, n, m), None, "")
+    registry.load()["probe_query"] = q
+    try:
+        assert registry.execute("Probe_Query -n 3 -m \"a b\"", 1, "d") == (1, "d", "3", "a b")
+        with pytest.raises(TypeError):
+            registry.execute("probe_query -other 1", 1, "d")
+    finally:
+        del registry._QUERIES["probe_query"]
