@@ -1,13 +1,8 @@
-"""What the operators share: code shipping, scratch tables in the shared folder, input reading."""
+"""What the operators share, besides the core's scratch tables and code shipping: input reading, folds, and batches in slices."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -15,54 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-
-
-def ship_code(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers, once for each Spark application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    top = Path(__file__).resolve().parent.parent
-    out = os.path.join(tempfile.mkdtemp(prefix="pixelframe-"), "pixelframe.zip")
-    with zipfile.ZipFile(out, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    spark.sparkContext.addPyFile(out)
-    _SHIPPED.add(app)
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = Path(tempfile.mkdtemp(prefix="pixelframe-scratch-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/pixelframe"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to a new Parquet table in the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path  # type: ignore[attr-defined]
-    return out
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the table behind a frame that materialize() returned, once nothing reads it any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+from ..scratch import drop_scratch, materialize, new_path, ship_code, shared_root  # noqa: F401  # for the operators
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

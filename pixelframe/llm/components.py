@@ -1,51 +1,15 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds.
-
-Every round is a few equi-joins and aggregations over edges; nothing is collected but three numbers a round. Tables of
-each round are written to the shared folder, so that lost executors cost no lineage."""
+"""Connected components of links between documents or vectors, by the core's star rounds."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, materialize
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of u to the smallest of u and its neighbours."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Link u and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    return down.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_if(F.col("u") <= F.col("v"))).first())
+from ..operators.connectivity import star_components
 
 
 def connected_components(edges: DataFrame, a: str, b: str, rounds: int = 60) -> DataFrame:
     """(node, component) of every node that has a link to another: component is the smallest node id it can reach.
 
     Loops, repeated links and rows with a null end are ignored; no edges give an empty table."""
-    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    now = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = _state(now)
-    for _ in range(rounds):
-        if not state[0]:
-            break
-        after = materialize(_small_star(_large_star(now)), "edges")
-        drop_scratch(now)
-        now, before, state = after, state, _state(after)
-        if state == before:
-            break
-    else:
-        raise RuntimeError(f"no fixpoint after {rounds} rounds")
-    # All are stars now: each non-root has one edge, to the smallest node of its component.
-    nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return star_components(edges.select(F.col(a).alias("u"), F.col(b).alias("v")), rounds)

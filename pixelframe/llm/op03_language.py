@@ -11,7 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_scratch, fold, materialize, rows_of, ship_code
@@ -89,7 +89,8 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     """Profiles of every language that rows outside the held-out fold are labelled with.
 
     The n-grams of a hash sample of about most_docs documents a language are counted on the executors; size n-grams a
-    language reach the driver. Rows with a null id, text or language teach nothing."""
+    language reach the driver. Rows with a null id, text or language teach nothing; repeated rows count each; other
+    columns are not read; an empty table gives no language."""
     ship_code(docs.sparkSession)
     rows = docs.where((fold(id_col, folds) != held_out) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     number = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -108,24 +109,35 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
 
     counted = rows.where(taken("id", rate)).select("lang", "text").mapInArrow(run, "lang string, code long, n long")
     counted = materialize(counted.groupBy("lang", "code").agg(F.sum("n").alias("n")), "grams")
-    top = {lang: [r["code"] for r in counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "code").limit(size).collect()] for lang in sorted(number)}
+    # The n-th largest count of each language is found by counts of counts, so that ranking needs no task with all n-grams of a language.
+    at_least = counted.groupBy("lang", "n").agg(F.count("*").alias("codes"))
+    more = F.sum("codes").over(Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    cut = at_least.withColumn("more", F.coalesce(more, F.lit(0))).where(F.col("more") < size).groupBy("lang").agg(F.min("n").alias("least"))
+    kept = counted.join(F.broadcast(cut), "lang").where("n >= least")  # a row a language
+    first = kept.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("place") <= size)
+    top: dict[str, list[int]] = {}
+    for r in first.select("lang", "code").orderBy("lang", "place").collect():  # size rows a language
+        top.setdefault(r["lang"], []).append(r["code"])
     drop_scratch(counted)
-    return Profiles({lang: np.array(codes, np.uint64) for lang, codes in top.items() if codes}, size)
+    return Profiles({lang: np.array(codes, np.uint64) for lang, codes in top.items()}, size)
 
 
-def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """(id, lang_pred, score), and the columns named in keep, of every row.
 
-    Whole texts are read. Null texts and texts without a letter are `und` with score 0; ties go to the first language
+    Whole texts are read. A column named in keep may not have the name of pred_col or score_col, which can be chosen;
+    others are not read. Null texts and texts without a letter are `und` with score 0; ties go to the first language
     by name; a null id stays null; repeated rows stay; no rows give no rows. A map over rows, without a shuffle."""
     ship_code(docs.sparkSession)
     names = [id_col, *keep]
+    if {pred_col, score_col} & set(names):
+        raise ValueError(f"{pred_col} or {score_col} is a column of the documents: choose other names")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [profiles.predict(t) for part in rows_of(batch.select([0])) for t in part[0]]
             cols = [batch.column(i + 1) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, pred_col, score_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(F.col(text_col).alias("_text"), *names).mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return docs.select(F.col(text_col).alias(f"_text {score_col}"), *names).mapInArrow(run, f"{schema}, `{pred_col}` string, `{score_col}` double")

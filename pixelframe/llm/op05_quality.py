@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 
 from .common import rows_of, ship_code
 from .hashing import Spans, mix, words
-from .sampling import labelled_texts
+from .sampling import Found, found, labelled_texts
 
-#: Labelled rows that training uses at most, about, and the longest text among them, in characters.
-MOST_ROWS, MOST_CHARS = 2500, 20_000
+#: Labelled rows that training uses at most, about.
+MOST_ROWS = 2500
 BITS, DIM, EPOCHS, RATE, SEED = 18, 10, 4, 0.5, 7
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -52,23 +52,22 @@ class Classifier:
         self.weight, self.bias, self.bits = weight, bias, bits
 
     def score(self, text: str | None) -> float:
-        found = features(text, self.bits)
-        z = self.bias + (float(self.weight[found].sum(dtype=np.float64)) / len(found) if len(found) else 0.0)
+        all_ = features(text, self.bits)
+        z = self.bias + (float(self.weight[all_].sum(dtype=np.float64)) / len(all_) if len(all_) else 0.0)
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def train(rows: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Classifier:
-    """Stochastic gradient descent over (text, 0 or 1) pairs, one document a step, with a linearly falling rate.
+def train(rows: list[tuple[str | Found, int]], bits: int = BITS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = SEED) -> Classifier:
+    """Stochastic gradient descent over (text or its features, 0 or 1) pairs, one document a step, with a linearly falling rate.
 
-    Without rows the classifier scores 0.5; with one label only it leans to that label."""
+    Empty texts move the bias alone; repeated rows are repeated steps. Without rows the classifier scores 0.5; with one label only it leans to that label."""
     rng = np.random.default_rng(seed)
     vectors = (rng.random((1 << bits, dim)) - 0.5) / dim
     layer, bias = np.zeros((dim, 2)), np.zeros(2)
     docs = []
     for text, label in rows:
-        found = features(text, bits)
-        ids, n = np.unique(found, return_counts=True)
-        docs.append((ids, (n / max(1, len(found)))[:, None], label))
+        ids, n = found(text, lambda t: features(t, bits))
+        docs.append((ids.astype(np.int64), (n / max(1, n.sum()))[:, None], label))
     step, steps = 0, max(1, epochs * len(docs))
     for _ in range(epochs):
         for k in rng.permutation(len(docs)):
@@ -88,25 +87,30 @@ def train(rows: list[tuple[str, int]], bits: int = BITS, dim: int = DIM, epochs:
     return Classifier((both[:, 1] - both[:, 0]).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, most_chars: int = MOST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Train on a hash sample of about most_rows labelled rows outside fold 0, each of at most most_chars characters."""
-    return train(labelled_texts(docs, labels, label, most_rows, most_chars, 5, id_col, text_col))
+def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", most_rows: int = MOST_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
+    """Train on the whole texts of a hash sample of about most_rows labelled rows outside fold 0.
 
+    Null texts are as empty; rows with a null id or label teach nothing; repeated rows are repeated; other columns, also
+    of clashing names, are not read; without rows the model scores 0.5."""
+    return train(labelled_texts(docs, labels, label, most_rows, features, 5, id_col, text_col))
 
-def score_texts(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+
+def score_texts(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), score_col: str = "score") -> DataFrame:
     """(id, score), and the columns named in keep, of every row, by model.score of the whole text.
 
-    Null and empty texts have the score of no feature; null ids stay null; repeated rows stay and score alike; no rows
+    A column named in keep may not have the name score_col, which can be chosen; others are not read. Null and empty texts have the score of no feature; null ids stay null; repeated rows stay and score alike; no rows
     give no rows. A map over rows without a shuffle; the model's few megabytes go with the tasks."""
     spark = docs.sparkSession
     ship_code(spark)
     sent, names = spark.sparkContext.broadcast(model), [id_col, *keep]
+    if score_col in names:
+        raise ValueError(f"{score_col} is a column of the documents: choose another score_col")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for batch in batches:
             scores = [own.score(t) for part in rows_of(batch.select([0])) for t in part[0]]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(names))), pa.array(scores, pa.float64())], [*names, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i + 1) for i in range(len(names))), pa.array(scores, pa.float64())], [*names, score_col])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.selectExpr(f"`{text_col}` as _text", *[f"`{c}`" for c in names]).mapInArrow(run, f"{schema}, score double")
+    return docs.selectExpr(f"`{text_col}` as `_text {score_col}`", *[f"`{c}`" for c in names]).mapInArrow(run, f"{schema}, `{score_col}` double")

@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.connectivity import forest
 from .common import materialize, ship_code
 from .components import connected_components
-from .op10_simhash import forest
 from .sampling import taken
 
 #: Points in a block, about; pivots at most (they are collected to the driver); and what rounding may add to a distance.

@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 
 from .common import fold
 from .hashing import Spans, words
-from .sampling import labelled_texts, plain_texts
+from .sampling import Found, found, labelled_texts
 
-#: Rows that training uses at most, about: labelled ones (the positives among them), unlabelled ones; and the longest text among them.
-MOST_LABELLED, MOST_UNLABELLED, MOST_CHARS = 12_000, 6000, 20_000
+#: Rows of the labels that training uses at most, about: confirmed positives, and any, with their labels hidden.
+MOST_POSITIVE, MOST_HIDDEN = 2000, 8000
+#: Row and feature of every present feature, and the number of rows.
+Rows = tuple[np.ndarray, np.ndarray, int]
 _WORD = np.zeros(256, bool)
 _WORD[128:] = True
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), 39]] = True
@@ -49,12 +51,12 @@ class Classifier:
 
     def present(self, text: str | None) -> np.ndarray:
         """Places of the selected features that occur in the text."""
-        found = features(text)
-        found = np.unique(found[self.maybe[(found >> np.uint64(44)).astype(np.int64)]])
-        if not len(found) or not len(self.hashes):
+        own = features(text)
+        own = np.unique(own[self.maybe[(own >> np.uint64(44)).astype(np.int64)]])
+        if not len(own) or not len(self.hashes):
             return np.zeros(0, np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        return at[self.hashes[at] == found]
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        return at[self.hashes[at] == own]
 
     def score(self, text: str | None) -> float:
         z = self.bias + float(self.weights[self.present(text)].sum())
@@ -93,14 +95,38 @@ def _selected(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: f
     return p[(rate_p * prior >= 0.4 * rate_u) & (np_ > expected) & (surprise > np.log(len(p)))]
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4, least: int = 4) -> Classifier:
+def _distinct(texts: list[str | Found]) -> list[np.ndarray]:
+    """Distinct features of each text; equal texts count once."""
+    return list({s.tobytes(): s for s in (found(t, features)[0] for t in texts)}.values())
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """The two parts of the corrected risk by logistic loss, of logits of the positives and of the unlabelled: positives as positives, and what is left of the unlabelled as negatives once the positives' share is taken off (it may fall below zero)."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def logits(w: np.ndarray, rows: Rows) -> np.ndarray:
+    return w[-1] + np.bincount(rows[0], w[rows[1]], rows[2])
+
+
+def gradient(w: np.ndarray, positive: Rows, unlabelled: Rows, prior: float) -> np.ndarray:
+    """Gradient of the risk by weights and bias (last) while its second part is not below zero; below, that part's gradient turned round."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+    back = lambda d, rows: np.concatenate((np.bincount(rows[1], d[rows[0]], len(w) - 1), [d.sum()])) / rows[2]
+    zp, zu = logits(w, positive), logits(w, unlabelled)
+    rest = back(sigmoid(zu), unlabelled) - prior * back(sigmoid(zp), positive)
+    return prior * back(-sigmoid(-zp), positive) + rest if risk(zp, zu, prior)[1] >= 0 else -rest
+
+
+def train(positive: list[str | Found], unlabelled: list[str | Found], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4, least: int = 4) -> Classifier:
     """Minimise the non-negative risk by gradient descent with momentum-scaled steps (Adam), over all rows a step.
 
-    prior: the share of toxic documents in the unlabelled text, over 0 and under 1. Without positives every text scores
-    the prior's own logit."""
+    prior: the share of toxic documents in the unlabelled text, over 0 and under 1. Null and empty texts have no feature;
+    equal texts count once. Without positives, unlabelled texts or telling features every text scores the prior's own
+    logit."""
     prior = float(np.clip(prior, 1e-3, 0.9))
     start = float(np.log(prior / (1 - prior)))
-    p_sets, u_sets = ([np.unique(features(t)) for t in texts] for texts in (dict.fromkeys(positive), dict.fromkeys(unlabelled)))
+    p_sets, u_sets = _distinct(positive), _distinct(unlabelled)
     p_sets = [p_sets[k] for k in _unlike(p_sets)]
     chosen = _selected(p_sets, u_sets, prior, least)
     if not p_sets or not u_sets or not len(chosen):
@@ -112,29 +138,22 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
         at = [i[(i < len(chosen)) & (chosen[np.minimum(i, len(chosen) - 1)] == s)] for i, s in zip(at, sets, strict=True)]
         return np.repeat(np.arange(len(sets)), [len(i) for i in at]), np.concatenate(at)
 
-    (pr, pf), (ur, uf) = rows(p_sets), rows(u_sets)
+    p_rows, u_rows = (*rows(p_sets), len(p_sets)), (*rows(u_sets), len(u_sets))
     w, m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     w[-1] = start
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -500, 500)))
     for step in range(1, steps + 1):
-        zp = w[-1] + np.bincount(pr, w[pf], len(p_sets))
-        zu = w[-1] + np.bincount(ur, w[uf], len(u_sets))
-        gradient = lambda d, r, f, n: np.concatenate((np.bincount(f, d[r], len(chosen)), [d.sum()])) / n
-        as_positive = gradient(-sigmoid(-zp), pr, pf, len(p_sets))
-        p_negative, u_negative = gradient(sigmoid(zp), pr, pf, len(p_sets)), gradient(sigmoid(zu), ur, uf, len(u_sets))
-        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g = prior * as_positive + u_negative - prior * p_negative if rest >= 0 else prior * p_negative - u_negative
+        g = gradient(w, p_rows, u_rows, prior)
         g[:-1] += decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Classifier(chosen, w[:-1].copy(), float(w[-1]))
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_labelled: int = MOST_LABELLED, most_unlabelled: int = MOST_UNLABELLED, most_chars: int = MOST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
-    """Train on the confirmed toxic rows of a hash sample of labelled rows outside fold 0, and on a hash sample of all texts without their labels.
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positive: int = MOST_POSITIVE, most_hidden: int = MOST_HIDDEN, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
+    """Train on the whole texts of two hash samples of labelled rows outside fold 0: confirmed toxic ones, and any, whose labels stay hidden.
 
-    The class prior is the share of toxic rows among all labelled rows outside fold 0."""
-    usable = labels.where((fold(id_col, 5) != 0) & F.col(label).isNotNull())
-    prior = usable.agg(F.avg(F.col(label).cast("double"))).first()[0]
-    positive = labelled_texts(docs, labels.where(F.col(label) == 1), label, max(1, int(most_labelled * max(prior or 0.0, 0.1))), most_chars, 5, id_col, text_col)
-    return train([t for t, _ in positive], plain_texts(docs, most_unlabelled, most_chars, 1, id_col, text_col), prior or 0.0)
+    The class prior is the share of toxic rows among all labelled rows outside fold 0. Null texts are as empty; rows with
+    a null id or label teach nothing; repeated rows teach once; other columns are not read; no rows are no positives."""
+    prior = labels.where((fold(id_col, 5) != 0) & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
+    texts = lambda rows, most: [t for t, _ in labelled_texts(docs, rows, label, most, features, 5, id_col, text_col)]
+    return train(texts(labels.where(F.col(label) == 1), most_positive), texts(labels, most_hidden), prior or 0.0)

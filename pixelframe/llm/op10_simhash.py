@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.connectivity import forest
 from .common import materialize, rows_of, ship_code
 from .components import connected_components
 
@@ -91,23 +92,6 @@ def _linked(key: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return exact | wild
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest node that each of n nodes can reach over the links (a, b)."""
-    label = np.arange(n)
-    while len(a):
-        least = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], least)
-        np.minimum.at(label, label[b], least)
-        while (label[label] != label).any():
-            label = label[label]
-        differ = label[a] != label[b]
-        a, b = a[differ], b[differ]
-        if (label == before).all():
-            break
-    return label
-
-
 def large_key(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect the members of one key as all their links do, without comparing every two of them.
 
