@@ -1,8 +1,9 @@
 """Embedding near-duplicates: exact pairs over a cosine threshold by dual traversal of cover trees.
 
 Unit vectors with cosine c lie sqrt(2 - 2c) apart, so a cosine threshold is a distance threshold. Vectors are dealt to
-cells by their nearest pivot, large cells to blocks; pairs of cells that are too far apart for their radii never meet.
-Each block has a cover tree: a node's children are a net of its points at half its radius, the node's own centre among
+cells by their nearest pivot, of which there are more the more vectors there are, and large cells to blocks; pairs of
+cells that are too far apart for their radii never meet. Those that may meet are dealt to tasks as squares of blocks, so
+that a block is sent to fewer tasks than it has partners. Each block has a cover tree: a node's children are a net of its points at half its radius, the node's own centre among
 them, down to single points. Two trees are traversed together: a pair of nodes whose centres lie further apart than the
 threshold plus both covering radii is pruned, any other is expanded on both sides at once, all distances of the two
 sets of children in one matrix product. Pairs of points that are left are verified in double precision.
@@ -22,12 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.connectivity import forest
-from .common import materialize, ship_code
+from .common import drop_scratch, materialize, ship_code
 from .components import connected_components
 from .sampling import taken
 
-#: Points in a block, about; pivots at most (they are collected to the driver); and what rounding may add to a distance.
-BLOCK, PIVOTS, SLACK = 4096, 256, 1e-4
+#: Points in a block, about; pivots at most (they are collected to the driver); blocks on a side of a task's square; and what rounding may add to a distance.
+BLOCK, PIVOTS, SIDE, SLACK = 4096, 1024, 4, 1e-4
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows in double precision, each times the power of two that brings its largest component to 0.5 up to 1: exact, and squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    y = scaled(x)
+    return y / np.sqrt((y * y).sum(axis=1))[:, None]
 
 
 class CoverTree:
@@ -39,32 +51,35 @@ class CoverTree:
         self.children: list[np.ndarray] = []
         if not len(points):
             return
-        near = np.sqrt(np.maximum(0, 2 - 2 * (points @ points.T)))
-        np.fill_diagonal(near, 0)
+        everything = np.arange(len(points))
         self._node(0)
-        stack = [(0, np.arange(len(points)), 2.0)]
+        stack = [(0, everything, self._far(points, 0, everything), 2.0)]
         while stack:
-            node, inside, r = stack.pop()
+            node, inside, far, r = stack.pop()
             centre = self.centre[node]
-            far = near[centre, inside]
             self.radius[node] = float(far.max())
             if len(inside) == 1:
                 continue
             r = min(r, 2.0 ** np.ceil(np.log2(max(self.radius[node], 1e-7))))  # levels at which the node would be its own only child are left out
             r /= 2
             close = far <= r
-            groups, left = [(centre, inside[close])], inside[~close]
+            groups, left = [(centre, inside[close], far[close])], inside[~close]
             while len(left):
                 c = int(left[0])
-                close = near[c, left] <= r
-                close[0] = True
-                groups.append((c, left[close]))
+                reach = self._far(points, c, left)
+                close = reach <= r
+                groups.append((c, left[close], reach[close]))
                 left = left[~close]
             if len(groups) == 1:  # as close as rounding can tell: single points
-                groups = [(int(c), np.array([c])) for c in inside]
-            kids = [(self._node(c), own) for c, own in groups]
-            self.children[node] = np.array([k for k, _ in kids])
-            stack += [(k, own, r) for k, own in kids if len(own) > 1]
+                groups = [(int(c), np.array([c]), np.zeros(1)) for c in inside]
+            kids = [(self._node(c), own, reach) for c, own, reach in groups]
+            self.children[node] = np.array([k for k, _, _ in kids])
+            stack += [(k, own, reach, r) for k, own, reach in kids if len(own) > 1]
+
+    @staticmethod
+    def _far(points: np.ndarray, centre: int, others: np.ndarray) -> np.ndarray:
+        """Distances of points to one of them, which is at 0 of itself."""
+        return np.where(others == centre, 0, np.sqrt(np.maximum(0, 2 - 2 * (points[others] @ points[centre]))))
 
     def _node(self, centre: int) -> int:
         self.centre.append(centre)
@@ -143,21 +158,33 @@ def close_pairs(a: CoverTree, pa_: np.ndarray, b: CoverTree, pb: np.ndarray, dis
                 stack.append((u[~single], v[~single]))
 
 
-def _links(points: list[np.ndarray], trees: list[CoverTree], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Verified pairs of one block with itself (rows of it) or of two blocks (rows of both together, the first block's first)."""
-    x, y = points[0].astype(np.float64), points[-1].astype(np.float64)
+def links(x: np.ndarray, a: CoverTree, y: np.ndarray, b: CoverTree, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs of two blocks' vectors, or of one block with itself (b is a), as rows of either, a bounded number at a time."""
+    x, y = scaled(x), scaled(y)
     nx, ny = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1))
-    unit = [(p / n[:, None]).astype(np.float32) for p, n in ((x, nx), (y, ny))]
-    distance = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    shift = len(x) if len(points) == 2 else 0
-    left, right = [], []
-    for i, j in close_pairs(trees[0], unit[0], trees[-1], unit[1], distance):
+    ux, uy = ((p / n[:, None]).astype(np.float32) for p, n in ((x, nx), (y, ny)))
+    for i, j in close_pairs(a, ux, b, uy, float(np.sqrt(max(0.0, 2 - 2 * threshold)))):
         for at in range(0, len(i), 1 << 18):
-            a, b = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
-            ok = np.einsum("ij,ij->i", x[a], y[b]) / (nx[a] * ny[b]) >= threshold
-            left.append(a[ok])
-            right.append(b[ok] + shift)
-    return (np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            u, v = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
+            ok = np.einsum("ij,ij->i", x[u], y[v]) / (nx[u] * ny[v]) >= threshold
+            if ok.any():
+                yield u[ok], v[ok]
+
+
+def may_meet(cells: list[tuple[int, int, float]], centre: dict[int, np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Pairs (i <= j) of (cell, size, radius) that can hold a link: of one length, and not further apart than the threshold and both radii."""
+    reach, out = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK, []
+    by_length: dict[int, list[int]] = {}
+    for i, (c, _, _) in enumerate(cells):
+        by_length.setdefault(c >> 20, []).append(i)
+    for own in by_length.values():
+        if any(cells[i][0] not in centre for i in own):
+            out += [(i, j) for i in own for j in own if i <= j]
+            continue
+        c, far = np.array([centre[cells[i][0]] for i in own]), np.array([cells[i][2] for i in own])
+        apart = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) - far[:, None] - far[None, :]
+        out += [(own[i], own[j]) for i, j in zip(*np.nonzero(np.triu(apart <= reach) | np.eye(len(own), dtype=bool)), strict=True)]
+    return out
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
@@ -166,86 +193,97 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     Vectors that are null, zero, or hold null or non-finite components link with nothing and are their own component.
     Copies of a vector link with each other. Vectors of different lengths never link. Ids are expected to be distinct;
     a row that repeats an id and its vector counts as one more copy, and links by its own. A null id stays null, links
-    count for it, and its component is that of its vector, or null alone. Other columns are not read; no rows give no
-    rows."""
+    count for it, and its component is that of its vector, or null alone. Ids may be whole numbers or strings. Other
+    columns, whatever their names, are not read; no rows give no rows."""
     spark = vectors.sparkSession
     ship_code(spark)
+    kind = vectors.schema[id_col].dataType.simpleString()
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.select("id", F.when(usable, F.col("v")).alias("v"))
     points = materialize(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")).where("id is not null"), "points")
 
-    total = points.count()
-    sample = points.where(taken("id", min(1.0, pivots / max(total, 1)))).select("v").limit(2 * pivots).collect()
-    length = points.agg(F.max(F.size("v"))).first()[0] or 0
-    # Pivots: a hash sample; of a small table perhaps none, which is one cell. Their number depends on how many blocks there are.
-    few = max(1, min(pivots, total // max(1, block // 2)))
-    chosen = [r["v"] for r in sample if len(r["v"]) == length][:few]
-    pivot = np.array(chosen, np.float64).reshape(len(chosen), length)
-    pivot /= np.maximum(np.sqrt((pivot * pivot).sum(1)), 1e-300)[:, None]
+    # Pivots: a hash sample of each length that fills blocks, by its share of them; a length that does not is one cell.
+    sizes = {r["length"]: r["n"] for r in points.groupBy(F.size("v").alias("length")).agg(F.count("*").alias("n")).where(F.col("n") > block // 2).collect()}
+    rate = min(1.0, 2 / block, pivots / max(1, sum(sizes.values())))
+    pivot: dict[int, np.ndarray] = {}
+    for r in points.where(taken("id", rate)).select("v").limit(2 * pivots).collect():
+        if len(r["v"]) in sizes:
+            pivot.setdefault(len(r["v"]), []).append(r["v"])
+    pivot = {length: unit(np.array(v)) for length, v in pivot.items()}
+    centre = {length << 20 | k: p for length, own in pivot.items() for k, p in enumerate(own)}
+    sent = spark.sparkContext.broadcast(pivot)  # PIVOTS vectors, about
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The cell of every vector, its distance to the cell's pivot, and its components as bytes."""
         for batch in batches:
             cells, far, packed = [], [], []
             for v in batch.column(2).to_pylist():
-                x = np.array(v, np.float64)
+                x, own = np.array(v, np.float64), sent.value.get(len(v))
                 packed.append(x.tobytes())
-                if len(pivot) and len(x) == length:
-                    c = pivot @ (x / np.sqrt((x * x).sum()))
-                    best = int(np.argmax(c))
-                    cells.append(best)
-                    far.append(float(np.sqrt(max(0.0, 2 - 2 * c[best]))))
-                else:
-                    cells.append(-1 - len(x))
+                if own is None:
+                    cells.append(len(v) << 20)
                     far.append(2.0)
+                    continue
+                c = own @ unit(x[None, :])[0]
+                best = int(np.argmax(c))
+                cells.append(len(v) << 20 | best)
+                far.append(float(np.sqrt(max(0.0, 2 - 2 * c[best]))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cells, pa.int64()), pa.array(far), pa.array(packed, pa.binary())], ["id", "copies", "cell", "far", "packed"])
 
-    dealt = materialize(points.select("id", "copies", "v").mapInArrow(deal, "id long, copies long, cell long, far double, packed binary"), "dealt")
-    cells = {r["cell"]: (r["n"], r["far"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}  # PIVOTS rows, and one for each odd length
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
-
-    def may_meet(p: int, q: int) -> bool:
-        if p < 0 or q < 0:
-            return p == q
-        return bool(np.sqrt(max(0.0, 2 - 2 * float(pivot[p] @ pivot[q]))) - cells[p][1] - cells[q][1] <= reach)
-
-    schema = "p long, q long"
-    meet = spark.createDataFrame([(p, q) for p in sorted(cells) for q in sorted(cells) if p <= q and may_meet(p, q)], schema)
-    parts = spark.createDataFrame([(c, max(1, -(-n // block))) for c, (n, _) in sorted(cells.items())], "cell long, parts long")
-    blocks = dealt.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))  # at most PIVOTS rows and odd lengths
+    dealt = materialize(points.select("id", "copies", "v").mapInArrow(deal, f"id {kind}, copies long, cell long, far double, packed binary"), "dealt")
+    cells = sorted((r["cell"], r["n"], r["far"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect())  # a row a pivot, and one for each other length
+    meet = spark.createDataFrame([(cells[i][0], cells[j][0]) for i, j in may_meet(cells, centre, threshold)], "p long, q long")
+    parts, first = [], 0
+    for c, n, _ in cells:
+        parts.append((c, max(1, -(-n // block)), first))
+        first += parts[-1][1]
+    named = spark.createDataFrame(parts, "cell long, parts long, first long")
+    blocks = dealt.join(F.broadcast(named), "cell").select((F.col("first") + F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"), "id", "copies", "packed")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         x = np.frombuffer(b"".join(pdf["packed"]), np.float64).reshape(len(pdf), -1)
-        unit = (x / np.sqrt((x * x).sum(1))[:, None]).astype(np.float32)
-        exact = x.astype(np.float32) if (x.astype(np.float32) == x).all() else x
-        body = pickle.dumps((pdf["id"].to_numpy(), pdf["copies"].to_numpy(), exact, CoverTree(unit)))
-        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "part": [pdf["part"].iloc[0]], "body": [body]})
-
-    built = materialize(blocks.select("cell", "part", "id", "copies", "packed").groupBy("cell", "part").applyInPandas(build, "cell long, part long, body binary"), "blocks")
-    names = built.select("cell", "part")
-    one = names.select(F.col("cell").alias("p"), F.col("part").alias("pp"))
-    two = names.select(F.col("cell").alias("q"), F.col("part").alias("qq"))
-    pairs = meet.join(one, "p").join(two, "q").where("p < q or pp <= qq")
-    wanted = pairs.select("p", "pp", "q", "qq", F.explode(F.array_distinct(F.array(F.struct(F.col("p").alias("cell"), F.col("pp").alias("part")), F.struct(F.col("q").alias("cell"), F.col("qq").alias("part"))))).alias("x")).select("p", "pp", "q", "qq", "x.cell", "x.part")
+        with np.errstate(over="ignore"):
+            single = x.astype(np.float32)
+        body = pickle.dumps((pdf["id"].to_numpy(), pdf["copies"].to_numpy(), single if (single == x).all() else x, CoverTree(unit(x).astype(np.float32))))
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "body": [body]})
+
+    built = materialize(blocks.groupBy("block").applyInPandas(build, "block long, body binary"), "blocks")
+    numbers = lambda cell, name: named.select(F.col("cell").alias(cell), F.explode(F.sequence("first", F.col("first") + F.col("parts") - 1)).alias(name))
+    pairs = meet.join(numbers("p", "a"), "p").join(numbers("q", "b"), "q").where("p < q or a <= b").select("a", "b", F.expr(f"struct(a div {SIDE} as r, b div {SIDE} as c)").alias("square"))
+    squares = pairs.groupBy("square").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))  # SIDE * SIDE pairs at most
+    wanted = squares.select("square", "pairs", F.explode(F.array_union("pairs.a", "pairs.b")).alias("block"))
 
     def traverse(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = [pickle.loads(b) for b in pdf.sort_values(["cell", "part"])["body"]]
-        ids, copies = (np.concatenate([h[k] for h in held]) for k in (0, 1))
-        a, b = _links([h[2] for h in held], [h[3] for h in held], threshold)
-        n = np.bincount(a, copies[b], len(ids)) + np.bincount(b, copies[a], len(ids))
-        # The smallest id of each local component, by numbering the points in id order.
-        order = np.argsort(ids, kind="stable")
+        held = {int(b): pickle.loads(body) for b, body in zip(pdf["block"], pdf["body"], strict=True)}
+        at, ids, copies = {}, [], []
+        for b in sorted(held):
+            at[b] = sum(map(len, ids))
+            ids.append(held[b][0])
+            copies.append(held[b][1])
+        ids, copies = np.concatenate(ids), np.concatenate(copies)
+        order = np.argsort(ids, kind="stable")  # points are numbered in id order, so that the smallest number is the smallest id
         place = np.empty(len(ids), np.int64)
         place[order] = np.arange(len(ids))
-        root = ids[order][forest(len(ids), place[a], place[b])[place]] if len(a) else ids
-        hit = n > 0
-        return pd.DataFrame({"id": ids[hit], "links": n[hit].astype(np.int64), "root": root[hit]})
-
-    found = materialize(wanted.join(built, ["cell", "part"]).groupBy("p", "pp", "q", "qq").applyInPandas(traverse, "id long, links long, root long"), "links")
+        n, label = np.zeros(len(ids)), np.arange(len(ids))
+        for pair in pdf["pairs"].iloc[0]:
+            a, b = int(pair["a"]), int(pair["b"])
+            for i, j in links(held[a][2], held[a][3], held[b][2], held[b][3], threshold):
+                i, j = i + at[a], j + at[b]
+                n += np.bincount(i, copies[j], len(ids)) + np.bincount(j, copies[i], len(ids))
+                u, v = label[place[i]], label[place[j]]
+                new = u != v
+                if new.any():
+                    label = forest(len(ids), u[new], v[new])[label]
+        hit = np.flatnonzero(n)
+        return pd.DataFrame({"id": ids[hit], "links": n[hit].astype(np.int64), "root": ids[order][label[place[hit]]]})
+
+    found = materialize(wanted.join(built, "block").groupBy("square").applyInPandas(traverse, f"id {kind}, links long, root {kind}"), "links")
     number = found.groupBy("id").agg(F.sum("links").alias("links"))
     group = connected_components(found, "id", "root")
+    for scratch in (dealt, built):
+        drop_scratch(scratch)
     of_point = points.join(number, "id", "left").join(group.withColumnRenamed("node", "id"), "id", "left")
     of_point = of_point.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     out = rows.join(of_point, "v", "left")

@@ -135,6 +135,47 @@ def test_embedding_links(spark):
     assert op06_embedding.near_duplicates(df.where("1 = 0")).count() == 0
 
 
+def test_embedding_links_of_extreme_vectors_and_text_ids(spark):
+    data = [[1e200, 2e200], [1.0, 2.1], [1e-200, 2e-200], [2e-310, 4.2e-310], [1e-200, -1e-200], [-1e308, 1e308], [3.0, 4.0, 0.0], [5e-324, 0.0], [1.0, 1e-9]]
+    df = spark.createDataFrame([(f"v{k}", v) for k, v in enumerate(data)], "key string, body array<double>")
+    found = {r["key"]: tuple(r)[1:] for r in op06_embedding.near_duplicates(df, id_col="key", vector_col="body", block=4, pivots=3).collect()}
+    groups = [{0, 1, 2, 3}, {4}, {5}, {6}, {7, 8}]
+    assert found == {f"v{k}": (len(g) - 1, f"v{min(g)}", k == min(g)) for g in groups for k in g}
+
+
+def test_cells_apart_never_meet(spark):
+    """Vectors in well separated bundles of two lengths: most pairs of cells and blocks are left out, and no link is lost."""
+    rng = np.random.default_rng(21)
+    data = []
+    for d, bundles in ((24, 12), (6, 3)):
+        middle = rng.normal(size=(bundles, d))
+        data += [(m / np.sqrt(m @ m) + rng.normal(size=d) * 0.02).tolist() for m in middle for _ in range(40)]
+    data.append(rng.normal(size=200).tolist())  # one vector far longer than all others changes nothing for them
+    table = [(i, v) for i, v in enumerate(data)]
+    seen, may_meet = [], op06_embedding.may_meet
+    op06_embedding.may_meet = lambda cells, centre, threshold: seen.append((len(cells), out := may_meet(cells, centre, threshold))) or out
+    try:
+        got = op06_embedding.near_duplicates(spark.createDataFrame(table, "vec_id long, embedding array<double>"), block=16, pivots=60).collect()
+    finally:
+        op06_embedding.may_meet = may_meet
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in got} == brute_embedding(table, 0.9)
+    cells, pairs = seen[0]
+    assert cells > 20 and len(pairs) < cells * (cells + 1) // 2 * 0.35
+
+
+def test_trees_prune_pairs_of_nodes():
+    """A traversal of separated bundles computes few of all distances."""
+    rng = np.random.default_rng(22)
+    middle = rng.normal(size=(20, 32))
+    x = op06_embedding.unit(np.repeat(middle, 50, axis=0) + rng.normal(size=(1000, 32)) * 0.05).astype(np.float32)
+    x = x[rng.permutation(1000)]
+    tree = op06_embedding.CoverTree(x)
+    pairs = [p for a, b in op06_embedding.close_pairs(tree, x, tree, x, 0.4) for p in zip(a.tolist(), b.tolist(), strict=True)]
+    i, j = np.nonzero(np.triu(x @ x.T >= 1 - 0.4**2 / 2, 1))
+    want = set(zip(i.tolist(), j.tolist(), strict=True))
+    assert want <= {tuple(sorted(p)) for p in pairs} and len(pairs) == len(set(pairs)) < 1.2 * len(want) < 0.1 * 1000 * 999 / 2
+
+
 def test_cover_tree_keeps_its_bounds():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 8))
