@@ -7,7 +7,8 @@ an equality grouping, and every candidate is verified on all 64 bits.
 
 Equal fingerprints are one class from the start, so that copies cost nothing. A key that many different fingerprints
 share is not compared pair by pair: its members are matched by one-bit flips of the other half, which takes time in
-proportion to the members, and only a spanning forest of their links leaves the task."""
+proportion to the members, and only a spanning forest of their links leaves the task. A key that so many share that no
+task should hold them is spread: its members are grouped by the flipped values themselves, at most 33 to a group."""
 
 from __future__ import annotations
 
@@ -27,6 +28,8 @@ from .components import connected_components
 SMALL = 24
 #: Members of one key that are held in memory at once; a larger key goes through flips in as many passes as it needs.
 HELD = 1 << 17
+#: Fingerprints with an equal half from which on the keys of that half are spread over tasks.
+HOT = 1 << 16
 _SLICE = 1 << 16
 
 
@@ -62,11 +65,36 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
+def _keys(half: str, bits: str) -> str:
+    """SQL of a half's 33 keys: place 0 to 31 with that bit cleared, and place 32 as it stands."""
+    return f"transform(sequence(0, 32), p -> shiftleft(cast({half} as bigint), 38) | shiftleft(cast(p as bigint), 32) | (({bits}) & ~if(p < 32, shiftleft(1L, p), 0L)))"
+
+
+_LOW, _HIGH = "fp & 4294967295L", "shiftrightunsigned(fp, 32)"
+
+
 def variants(classes: DataFrame) -> DataFrame:
     """(key, fp): for each half the key without a wildcard (place 32) and the 32 keys with one. A key holds half, place and the 32 bits, the wildcard's cleared."""
-    halves = [(0, "fp & 4294967295L"), (1, "shiftrightunsigned(fp, 32)")]
-    keys = [f"transform(sequence(0, 32), p -> {h}L << 38 | shiftleft(cast(p as bigint), 32) | (({bits}) & ~if(p < 32, shiftleft(1L, p), 0L)))".replace(f"{h}L << 38", str(h << 38) + "L") for h, bits in halves]
-    return classes.select("fp", F.explode(F.expr(f"concat({', '.join(keys)})")).alias("key")).select("key", "fp")
+    return classes.select("fp", F.explode(F.expr(f"concat({_keys('0', _LOW)}, {_keys('1', _HIGH)})")).alias("key")).select("key", "fp")
+
+
+def hot_keys(classes: DataFrame) -> DataFrame:
+    """(key) of all keys of halves that over HOT fingerprints have; a wildcard key has at most two halves' fingerprints, so that no other key has over 2 * HOT."""
+    halves = classes.select(F.explode(F.expr(f"array(struct(0 as half, {_LOW} as bits), struct(1 as half, {_HIGH} as bits))")).alias("h")).groupBy("h.half", "h.bits").agg(F.count("*").alias("n"))
+    return halves.where(F.col("n") > HOT).select(F.explode(F.expr(_keys("half", "bits"))).alias("key")).distinct()
+
+
+def spread_links(members: DataFrame) -> DataFrame:
+    """(a, b): links that connect the members of each key (key, fp) as all their links do, by built-in functions.
+
+    Without a wildcard, members whose other halves are one flip or none away from a value are all linked. With one, the
+    member whose wildcard bit is 0 is linked to those with a 1 that reach its other half by one flip or none."""
+    m = members.selectExpr("key", "fp", "shiftright(key, 32) & 63 as place", f"if(shiftright(key, 38) = 1, {_LOW}, {_HIGH}) as other", f"if(shiftright(key, 38) = 1, {_HIGH}, {_LOW}) as own")
+    m = m.selectExpr("key", "fp", "place", "other", "if(place < 32, shiftrightunsigned(own, cast(place as int)) & 1, 1) as side")
+    flips = "if(side = 1, transform(sequence(-1, 31), k -> if(k < 0, other, other ^ shiftleft(1L, k))), array(other))"
+    met = m.select("key", "place", "fp", "side", F.explode(F.expr(flips)).alias("value")).groupBy("key", "value", "place").agg(F.sort_array(F.collect_list(F.struct("side", "fp"))).alias("x"))
+    met = met.where("size(x) > 1 and (place = 32 or x[0].side = 0)")
+    return met.select(F.col("x")[0]["fp"].alias("a"), F.explode(F.expr("slice(x, 2, 99)")).alias("y")).select("a", F.col("y.fp").alias("b"))
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -184,7 +212,13 @@ def links(classes: DataFrame) -> DataFrame:
             if len(x):
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    return variants(classes).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long").distinct()
+    keyed, hot = variants(classes), materialize(hot_keys(classes), "hot")
+    spread = None
+    if hot.count():  # 33 keys for each HOT fingerprints at most
+        marked = keyed.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "key", "left")
+        keyed, spread = marked.where("_hot is null").select("key", "fp"), spread_links(marked.where("_hot").select("key", "fp"))
+    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+    return (found if spread is None else found.unionByName(spread)).distinct()
 
 
 def group(fps: DataFrame, id_col: str = "doc_id") -> DataFrame:

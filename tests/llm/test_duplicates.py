@@ -56,7 +56,7 @@ def _near(rng, fp, n):
     return fp
 
 
-def test_links_of_fingerprints(spark):
+def test_links_of_fingerprints(spark, monkeypatch):
     rng = random.Random(9)
     fps = {rng.getrandbits(64) for _ in range(40)}
     for fp in list(fps)[:25]:
@@ -68,6 +68,11 @@ def test_links_of_fingerprints(spark):
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     df = spark.createDataFrame([(k, signed(f)) for k, f in enumerate(fps)] + [(1000, signed(fps[5])), (None, signed(fps[0])), (None, 77)], "doc_id long, fp long")
     found = {r["doc_id"]: r["component_id"] for r in op10_simhash.group(df).collect() if r["doc_id"] is not None}
+    monkeypatch.setattr(op10_simhash, "HOT", 5)
+    assert op10_simhash.hot_keys(df.select("fp").distinct()).count() > 33
+    assert found == {r["doc_id"]: r["component_id"] for r in op10_simhash.group(df).collect() if r["doc_id"] is not None}
+    monkeypatch.setattr(op10_simhash, "HOT", 0)  # every key is spread
+    assert found == {r["doc_id"]: r["component_id"] for r in op10_simhash.group(df).collect() if r["doc_id"] is not None}
     links = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 2] + [(1000, 5)]
     assert found == roots([*range(len(fps)), 1000], links)
 
