@@ -130,7 +130,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
         for batch in batches:
-            for part in slices(batch, 8192, 8 << 20):
+            for part in slices(batch, 8192, 2 << 20):
                 ids, bounds = c.parts.encode(part.column(1))
                 at = np.concatenate(([0], np.cumsum(c.length[ids])))[bounds]
                 coded, decoded = (memoryview(x.tobytes()) for x in (ids.astype("<u4"), take_runs(c.bytes, c.start, c.length, ids)))

@@ -328,7 +328,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (bounds, keys) = _encoder(tokenizer), sent.value
         for batch in batches:
-            for rows in slices(batch, 8192, 8 << 20):
+            for rows in slices(batch, 8192, 2 << 20):
                 ids, edge = encoder.encode(rows.column(2))
                 ids = np.insert(ids, edge[1:], end_id).astype(size)
                 edge = edge + np.arange(len(edge))

@@ -74,7 +74,7 @@ class PartEncoder:
 
     own: strings that keep a text whole. cut: whether texts may be cut at all; only under the pattern named above."""
 
-    def __init__(self, tokens: Callable[[list[str]], Coded], parts: Callable[[list[str]], Coded], whole: Callable[[str], np.ndarray], own: tuple[str, ...] = (), cut: bool = True, most: int = 400_000):
+    def __init__(self, tokens: Callable[[list[str]], Coded], parts: Callable[[list[str]], Coded], whole: Callable[[str], np.ndarray], own: tuple[str, ...] = (), cut: bool = True, most: int = 200_000):
         self.parts, self.whole, self.own, self.cut = parts, whole, own, cut
         self.tokens = _Store(lambda found: tokens(found.to_pylist()), most)
         self.first = _Store(lambda found: self._learn(found, ""), most)
