@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,16 @@ def fold(doc_id: str, folds: int):
     return F.crc32(F.col(doc_id).cast("string")) % folds
 
 
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Hand memory that is no longer used back to the system: Python workers live on from stage to stage, several to an executor."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, size: int = 512, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """An Arrow batch a few rows at a time: at most size rows and about most_bytes of text, but one row at least."""
     weight = np.zeros(batch.num_rows, np.int64)
@@ -33,6 +44,8 @@ def slices(batch: pa.RecordBatch, size: int = 512, most_bytes: int = 4 << 20) ->
         before = total[at - 1] if at else 0
         end = min(at + size, max(at + 1, int(np.searchsorted(total, before + most_bytes, "right"))), batch.num_rows)
         yield batch.slice(at, end - at)
+        if total[end - 1] - before > 1 << 20:
+            give_back()
         at = end
 
 
