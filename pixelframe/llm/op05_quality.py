@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import rows_of, ship_code
+from .common import give_back, rows_of, ship_code
 from .hashing import Spans, mix, words
 from .sampling import Found, found, labelled_texts
 
@@ -64,14 +64,15 @@ def train(rows: list[tuple[str | Found, int]], bits: int = BITS, dim: int = DIM,
     rng = np.random.default_rng(seed)
     vectors = (rng.random((1 << bits, dim)) - 0.5) / dim
     layer, bias = np.zeros((dim, 2)), np.zeros(2)
-    docs = []
+    docs = []  # eight bytes a distinct feature of a row
     for text, label in rows:
         ids, n = found(text, lambda t: features(t, bits))
-        docs.append((ids.astype(np.int64), (n / max(1, n.sum()))[:, None], label))
+        docs.append((ids.astype(np.int32), n.astype(np.int32), label))
     step, steps = 0, max(1, epochs * len(docs))
     for _ in range(epochs):
         for k in rng.permutation(len(docs)):
-            ids, share, label = docs[k]
+            ids, n, label = docs[k]
+            share = (n / max(1, n.sum()))[:, None]
             now = rate * (1 - step / steps)
             step += 1
             hidden = (vectors[ids] * share).sum(axis=0)
@@ -84,6 +85,8 @@ def train(rows: list[tuple[str | Found, int]], bits: int = BITS, dim: int = DIM,
             bias -= now * p * 0.1
             vectors[ids] -= (now * len(ids) ** 0.5) * share * back
     both = vectors @ layer
+    del docs, vectors
+    give_back()
     return Classifier((both[:, 1] - both[:, 0]).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, give_back
 from .hashing import Spans, words
 from .sampling import Found, found, labelled_texts
 
@@ -156,4 +156,6 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_positiv
     a null id or label teach nothing; repeated rows teach once; other columns are not read; no rows are no positives."""
     prior = labels.where((fold(id_col, 5) != 0) & F.col(label).isNotNull()).agg(F.avg(F.col(label).cast("double"))).first()[0]
     texts = lambda rows, most: [t for t, _ in labelled_texts(docs, rows, label, most, features, 5, id_col, text_col)]
-    return train(texts(labels.where(F.col(label) == 1), most_positive), texts(labels, most_hidden), prior or 0.0)
+    model = train(texts(labels.where(F.col(label) == 1), most_positive), texts(labels, most_hidden), prior or 0.0)
+    give_back()
+    return model
