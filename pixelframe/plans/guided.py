@@ -102,7 +102,7 @@ def _fast(cs: list[str]) -> tuple[dict[str, Column], dict[str, Column], Column]:
 
 def _full(cs: list[str]) -> Column:
     """The best of all 36 pairs, each at its own best proportion; pairs of one colour say nothing, and nine equal candidates give (4, 4, 0). A higher-order function over a constant list of pairs keeps the generated code small."""
-    near = F.array(*[F.col(f"k{k}") for k in range(9)])
+    near = F.col("_near")
     pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in PAIRS])
 
     def total(parts: list[Column]) -> Column:
@@ -129,20 +129,22 @@ def _full(cs: list[str]) -> Column:
 
 
 def fit(large: DataFrame, small: DataFrame, of: DataFrame, ratio: float, search: str = "fast") -> DataFrame:
-    """The plan (image_id, y, x, pixel_id, q, idx0, idx1, w): out = small[idx1] + w * (small[idx0] - small[idx1])."""
+    """The plan (image_id, y, x, pixel_id, q, idx0, idx1, w): out = small[idx1] + w * (small[idx0] - small[idx1]). A proportion that a null channel leaves open is 0."""
     cs = channels(large.columns)
     c = candidates(large, small, of, ratio)
     if search == "fast":
         first, second, best = _fast(cs)
         c = c.withColumns(first).withColumns(second)
     elif search == "full":
+        # A column of its own: within the lambdas the array would be built anew for every pair.
+        c = c.withColumn("_near", F.array(*[F.col(f"k{k}") for k in range(9)]))
         best = _full(cs)
     else:
         raise ValueError(f"search is fast or full, not {search!r}")
     c = c.withColumn("_b", best)
-    # Never null, and said to be so: else a join on them would push a copy of the whole choice below itself as a null test.
+    # Never null, and said to be so: else a join on idx0 and idx1, or a filter on an error by w, would push a copy of the whole choice below itself as a null test.
     at = lambda k: F.coalesce((F.col("q") + (F.expr(f"{k} div 3") - 1) * F.col("dw") + (F.col(k) % 3 - 1)).cast("long"), F.lit(-1).cast("long"))
-    return c.select(*PLACE, "pixel_id", "q", at("_b.i").alias("idx0"), at("_b.j").alias("idx1"), F.col("_b.w").alias("w"))
+    return c.select(*PLACE, "pixel_id", "q", at("_b.i").alias("idx0"), at("_b.j").alias("idx1"), F.coalesce(F.col("_b.w"), F.lit(0.0)).alias("w"))
 
 
 def upsample(plan: DataFrame, small: DataFrame) -> DataFrame:
