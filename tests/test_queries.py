@@ -92,3 +92,10 @@ def test_commands_take_arguments():
             registry.execute("probe_query -other 1", 1, "d")
     finally:
         del registry._QUERIES["probe_query"]
+
+
+@pytest.mark.parametrize("name", ["glu_plan_fast", "glu_plan_full"])
+def test_plan_columns_are_never_null(spark, name):
+    """A nullable one would let joins and filters on it push copies of the whole choice below themselves."""
+    schema = entry.queries()[name](spark, SF).schema
+    assert not any(schema[c].nullable for c in ("idx0", "idx1", "w"))
