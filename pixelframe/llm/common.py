@@ -18,6 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder that tasks wrote files to, once nothing reads it any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def fold(doc_id: str, folds: int):
     """crc32 of the id as text, modulo folds; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string")) % folds

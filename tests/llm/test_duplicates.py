@@ -181,6 +181,25 @@ def test_trees_prune_pairs_of_nodes():
     assert want <= {tuple(sorted(p)) for p in pairs} and len(pairs) == len(set(pairs)) < 1.2 * len(want) < 0.1 * 1000 * 999 / 2
 
 
+def test_traversal_of_noise_gathers_few_pairs(monkeypatch):
+    """Directionless noise with some near copies, also with components that tell nothing first: pairs come from matrix products, and hardly more of them than links are looked at one by one."""
+    rng = np.random.default_rng(23)
+    x = rng.normal(size=(3000, 64))
+    x[2800:] = x[:200] + rng.normal(size=(200, 64)) * 0.2
+    gathered, einsum = [], np.einsum
+    monkeypatch.setattr(np, "einsum", lambda spec, u, v: gathered.append(len(u)) or einsum(spec, u, v))
+    for blank in (0, 40):
+        y = x.copy()
+        y[:, :blank] = 0
+        y = op06_embedding.unit(y).astype(np.float32)
+        tree = op06_embedding.CoverTree(y)
+        gathered.clear()
+        pairs = {tuple(sorted(p)) for a, b in op06_embedding.close_pairs(tree, y, tree, y, 0.4) for p in zip(a.tolist(), b.tolist(), strict=True)}
+        i, j = np.nonzero(np.triu(y @ y.T >= 1 - 0.4**2 / 2, 1))
+        assert set(zip(i.tolist(), j.tolist(), strict=True)) <= pairs and len(pairs) < 1.2 * len(i)
+        assert blank or sum(gathered) < 8 * len(y)
+
+
 def test_cover_tree_keeps_its_bounds():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 8))
