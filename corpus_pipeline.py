@@ -43,7 +43,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group: five-word shingles, a Jaccard similarity of 0.8 or more."""
+    """Keeps the document with the smallest id of each group: five-word shingles, a Jaccard similarity of 0.8 or more.
+
+    SimHash keys propose, MinHash bands propose what lies beyond their reach, and whole sets of shingles decide."""
     return near_copies.first_of_each(docs)
 
 

@@ -1,10 +1,12 @@
 """Groups of texts whose word shingles have a Jaccard similarity of a given share or more.
 
-MinHash bands propose: texts that share the smallest hashes of a band lie in one candidate group, of which only a star of
-links is written. Within a group every two texts are compared by their whole sets of shingles. A large group is cut to
-blocks and every two blocks meet in a task of their own, so that no pair is left out and no task holds the group; only a
-spanning forest of the links leaves a task. Texts with equal sets are one class from the start, so that copies cost
-nothing."""
+SimHash fingerprints of the shingles propose first, by the keys of op10 (halves with one wildcard bit), and 64 bits are
+compared: all within two bits, and further ones that share a key. That reaches few texts at 0.8, whose fingerprints lie
+some ten bits apart. MinHash bands propose the rest: texts that share the smallest hashes of a band lie in one candidate
+group, of which only a star of links is written. Neither decides. Within a group every two texts are compared by their
+whole sets of shingles. A large group is cut to blocks and every two blocks meet in a task of their own, so that no pair
+is left out and no task holds the group; only a spanning forest of the links leaves a task. Texts with equal sets are
+one class from the start, so that copies cost nothing."""
 
 from __future__ import annotations
 
@@ -20,11 +22,14 @@ from ..operators.connectivity import forest
 from .common import materialize, rows_of, ship_code
 from .components import connected_components
 from .hashing import Spans, mix
+from .op10_simhash import links as simhash_links
 
 #: Words of a shingle, and the least similarity as a fraction.
 WORDS, LEAST = 5, (4, 5)
 #: Two texts of similarity s share a band with probability 1 - (1 - s**ROWS)**BANDS: all but 6 in a million at 0.8.
 BANDS, ROWS = 40, 6
+#: Differing bits of two fingerprints that propose a pair: at 0.8 some 10 (deviation 3), of unlike texts 32 (deviation 4).
+BITS = 18
 #: Texts of a block.
 BLOCK = 256
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 63, (BANDS * ROWS, 1)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,6 +53,14 @@ def name_of(found: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 42)).view(np.int64))
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of the set, as a signed long: a bit is 1 if set in over half of the hashes; 0 for an empty set."""
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(found), 1 << 16):
+        count += np.unpackbits(found[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return int(np.packbits(count * 2 > len(found), bitorder="little").view("<i8")[0])
+
+
 def bands(found: np.ndarray) -> np.ndarray:
     """The keys of a set, one a band; an empty set has none."""
     if not len(found):
@@ -59,20 +72,29 @@ def bands(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(id, cls, keys) of every row."""
+    """(id, cls, fp, keys) of every row."""
     ship_code(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in rows_of(batch):
                 sets = [shingles(t, words) for t in texts]
-                cols = [pa.array(ids, batch.schema.field(0).type), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(cols, [id_col, "cls", "keys"])
+                cols = [pa.array(ids, batch.schema.field(0).type), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(cols, [id_col, "cls", "fp", "keys"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, cls long, keys array<long>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, cls long, fp long, keys array<long>")
 
 
-def candidates(classes: DataFrame) -> DataFrame:
+def by_fingerprint(classes: DataFrame) -> DataFrame:
+    """(a, b): each class of a fingerprint and the fingerprint's smallest class, and such classes of fingerprints that SimHash proposes."""
+    own = classes.where("size(keys) > 0").select("fp", "cls")  # an empty set is like no other
+    first = materialize(own.groupBy("fp").agg(F.min("cls").alias("first")), "fingerprints")
+    of = lambda side: first.select(F.col("fp").alias(f"{side}_fp"), F.col("first").alias(side))
+    pairs = simhash_links(first.select("fp"), BITS).toDF("a_fp", "b_fp").join(of("a"), "a_fp").join(of("b"), "b_fp").select("a", "b")
+    return pairs.union(own.join(first, "fp").where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")))
+
+
+def by_bands(classes: DataFrame) -> DataFrame:
     """(a, b): each class of a key and the key's smallest class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +116,12 @@ def candidates(classes: DataFrame) -> DataFrame:
     return exploded.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(run, "a long, b long").distinct()
 
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """(a, b) of classes (cls, fp, keys): links that connect all that fingerprints or bands propose."""
+    # Written, so that either's Python workers are done before the other's begin.
+    return materialize(by_fingerprint(classes), "proposed").union(by_bands(classes))
+
+
 def similar(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of sets whose Jaccard similarity is least or more, by whole counts."""
     n, size = len(sets), np.array([len(s) for s in sets], np.int64)
@@ -117,7 +145,7 @@ def similar(sets: list[np.ndarray], least: tuple[int, int] = LEAST) -> tuple[np.
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, words: int, least: tuple[int, int]) -> DataFrame:
     """(a, b): links between different classes, enough of them to connect all that can reach each other."""
-    near = connected_components(candidates(classes.select("cls", "keys")), "a", "b")
+    near = connected_components(candidates(classes.select("cls", "fp", "keys")), "a", "b")
     blocks = near.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
     placed = near.join(blocks, "component").join(classes.where("rep is not null").select(F.col("cls").alias("node"), "rep"), "node")
     placed = placed.select("rep", F.col("node").alias("cls"), "component", F.expr("pmod(xxhash64(node), n)").alias("block"), "n")
@@ -152,7 +180,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows are repeated; a null id has the component of its copies, or null."""
     ship_code(docs.sparkSession)
     found = materialize(sketches(docs, id_col, text_col, words), "sketches")
-    classes = materialize(found.groupBy("cls").agg(F.min(id_col).alias("rep"), F.first("keys").alias("keys")), "classes")
+    classes = materialize(found.groupBy("cls").agg(F.min(id_col).alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "classes")
     # Written first, so that comparing and linking up do not hold two Python workers a task.
     linked = connected_components(materialize(links(docs, classes, id_col, text_col, words, least), "links"), "a", "b")
     linked = linked.join(classes.select(F.col("cls").alias("node"), "rep"), "node")

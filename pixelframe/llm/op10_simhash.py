@@ -186,8 +186,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """(a, b): links between different fingerprints, enough of them to connect all that can reach each other at two differing bits a step."""
+def links(classes: DataFrame, bits: int = 2) -> DataFrame:
+    """(a, b): links between different fingerprints, enough of them to connect all that can reach each other at two differing bits a step.
+
+    With more bits, also all pairs that differ in so many and meet in a key of up to SMALL members: candidates for
+    another check, as two halves with one wildcard do not reach all of them."""
     ship_code(classes.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,7 +204,7 @@ def links(classes: DataFrame) -> DataFrame:
                 same = np.flatnonzero(k[step:] == k[:-step]) if len(k) > step else np.zeros(0, np.int64)
                 if not len(same):
                     break
-                ok = same[_linked(k[same], f[same], f[same + step])]
+                ok = same[_linked(k[same], f[same], f[same + step]) if bits <= 2 else _popcount(f[same] ^ f[same + step]) <= bits]
                 a.append(f[ok])
                 b.append(f[ok + step])
             for s, n in zip(starts[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):

@@ -79,3 +79,17 @@ def test_awkward_rows(spark):
     by = {r["doc_id"]: r["component_id"] for r in out}
     assert by[1] == 0 and by[3] == by[4] == by[5] == 3 and by[None] is None
     assert near_copies.first_of_each(empty(spark)).count() == 0
+
+
+def test_fingerprints_propose_without_bands(spark):
+    """Candidates are all pairs of classes with equal fingerprints or two differing bits, and of close ones that share a half but for one bit; no bands are needed, and empty sets are left out."""
+    fps = {1: 0x0123456789ABCDEF, 2: 0x0123456789ABCDEF, 3: 0x0123456789ABCDEF ^ 1 << 3 ^ 1 << 40, 4: 0x0123456789ABCDEF ^ 0x7F, 5: 0x7EDCBA9876543210, 6: 0x0123456789ABCDEF ^ 0x3F00 ^ 0x3F << 32}
+    classes = spark.createDataFrame([(c, f, [c]) for c, f in fps.items()] + [(7, fps[1], [])], "cls long, fp long, keys array<long>")
+    found = roots([*fps, 7], [tuple(r) for r in near_copies.candidates(classes).collect()])
+    assert found == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 6, 7: 7}
+
+
+def test_fingerprint_counts_bits_of_whole_sets():
+    for s in (near_copies.shingles(" ".join(f"w{k}" for k in range(n))) for n in (0, 3, 6, 7, 90)):
+        want = sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in s) > len(s))
+        assert near_copies.fingerprint(s) & (1 << 64) - 1 == want
