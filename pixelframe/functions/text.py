@@ -141,6 +141,12 @@ def number_in_name(name: Column) -> Column:
     return F.regexp_extract(name, r"(\d+)", 1).try_cast("long")
 
 
+def fixed(v: Column, places: int) -> Column:
+    """A number with a fixed count of decimals, rounded from its exact binary value as printf does (format_string rounds its shortest decimal form half up)."""
+    named = F.when(F.isnan(v), F.lit("nan")).when(v == float("inf"), F.lit("inf")).when(v == float("-inf"), F.lit("-inf"))
+    return named.otherwise(F.call_function("format_number", v, F.lit("0." + "0" * places)))
+
+
 def lines(text: Column) -> Column:
     """The lines of a text, without their ends; a line end at the text's end opens no further line."""
     return F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")
