@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..schema import PLACE, channels
 
+#: Columns whose neighbourhoods are packed together.
+BLOCK = 32
+
 
 def _sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("image_id").agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
@@ -18,23 +21,41 @@ def _targets(df: DataFrame, width: int, height: int) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
 
 
+def _windows(df: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """(image_id, _sy, _b, _w{dy}_{c}, ...): what places of row _sy and of the BLOCK columns from _b * BLOCK on can reach by the offsets: for each dy and channel, an array of a row's values from the first such column on, null where there is no pixel.
+
+    A row's pixels are packed once, and packed rows, not pixels, are copied to the rows that they are reached from."""
+    cs, dys, dxs = channels(df.columns), sorted({dy for dy, _ in offsets}), [dx for _, dx in offsets]
+    block = lambda by: F.floor((F.col("x") - by) / F.lit(float(BLOCK))).cast("int")
+    reached = df.select(*PLACE, *cs, F.explode(F.sequence(block(max(dxs)), block(min(dxs)))).alias("_b"))
+    # Rows stay where this puts them for both aggregations.
+    once = reached.repartition("image_id", "y").groupBy("image_id", "y", "_b", "x").agg(*[F.max(c).alias(c) for c in cs])
+    packed = once.groupBy("image_id", "y", "_b").agg(F.collect_list(F.struct("x", *cs)).alias("_p"))
+    packed = packed.select("image_id", "y", "_b", *[F.map_from_arrays("_p.x", f"_p.{c}").alias(c) for c in cs])
+    copies = packed.select("image_id", "_b", *cs, F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), (F.col("y") - dy).alias("_sy")) for dy in dys])).alias("_o"))
+    pick = lambda dy, c: F.first(F.when(F.col("_o.dy") == dy, F.col(c)), ignorenulls=True).alias(f"_w{dy}_{c}")
+    wide = copies.groupBy("image_id", F.col("_o._sy").alias("_sy"), "_b").agg(*[pick(dy, c) for dy in dys for c in cs])
+    places = F.sequence(F.col("_b") * BLOCK + min(dxs), F.col("_b") * BLOCK + (BLOCK - 1 + max(dxs)))
+    filled = lambda n: F.transform(places, lambda x: F.try_element_at(F.col(n), x)).alias(n)
+    return wide.select("image_id", "_sy", "_b", *[filled(f"_w{dy}_{c}") for dy in dys for c in cs])
+
+
 def _taps(df: DataFrame, asked: DataFrame, offsets: list[tuple[int, int]], how: str = "inner") -> DataFrame:
-    """asked (keys, _sy, _sx, ...) with a struct of channels for each offset from the source place, null outside (how: left) or the row left out (inner).
+    """asked (keys, _sy, _sx, ...) with a struct of channels for each offset from the source place, all null outside (how: left) or the row left out if all are outside (inner).
 
-    One offset is one join. More are one join of a row for each offset, and one aggregation that puts them side by
-    side: the image is shuffled once, however many neighbours are asked for."""
+    However many neighbours are asked for, it is one join: with the pixels for one offset, with packed windows for more."""
     cs = channels(df.columns)
     if len(offsets) == 1:
         (dy, dx), names = offsets[0], ["image_id", "_sy", "_sx"]
         tap = df.select(F.col("image_id"), (F.col("y") - dy).alias("_sy"), (F.col("x") - dx).alias("_sx"), F.struct(*cs).alias("_t0"))
         return asked.join(tap, names, how)
-    taps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for k, (dy, dx) in enumerate(offsets)])
-    keys = asked.columns
-    rows = asked.select("*", F.explode(taps).alias("_o")).select(*keys, F.col("_o.k").alias("_k"), (F.col("_sy") + F.col("_o.dy")).alias("_ty"), (F.col("_sx") + F.col("_o.dx")).alias("_tx"))
-    source = df.select("image_id", F.col("y").alias("_ty"), F.col("x").alias("_tx"), *[F.col(c).alias(f"_v{c}") for c in cs])
-    met = rows.join(source, ["image_id", "_ty", "_tx"], how)
-    side = met.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, F.col(f"_v{c}"))).alias(f"_{k}_{c}") for k in range(len(offsets)) for c in cs])
-    return side.select(*keys, *[F.when(F.col(f"_{k}_{cs[0]}").isNotNull(), F.struct(*[F.col(f"_{k}_{c}").alias(c) for c in cs])).alias(f"_t{k}") for k in range(len(offsets))])
+    placed = asked.withColumn("_b", F.floor(F.col("_sx") / F.lit(float(BLOCK))).cast("int"))
+    met = placed.join(_windows(df, offsets), ["image_id", "_sy", "_b"], how)
+    least = min(dx for _, dx in offsets)
+    value = lambda k, c: F.get(F.col(f"_w{offsets[k][0]}_{c}"), F.col("_sx") - F.col("_b") * BLOCK + (offsets[k][1] - least))
+    if how == "inner":
+        met = met.where(F.coalesce(*[value(k, cs[0]) for k in range(len(offsets))]).isNotNull())
+    return met.select(*asked.columns, *[F.struct(*[value(k, c).alias(c) for c in cs]).alias(f"_t{k}") for k in range(len(offsets))])
 
 
 def nearest(df: DataFrame, width: int, height: int) -> DataFrame:
@@ -148,7 +169,7 @@ def sample_bilinear(df: DataFrame, points: DataFrame) -> DataFrame:
     def value(c: str) -> Column:
         top = F.col(f"_t0.{c}") + (F.col(f"_t1.{c}") - F.col(f"_t0.{c}")) * rx
         low = F.col(f"_t2.{c}") + (F.col(f"_t3.{c}") - F.col(f"_t2.{c}")) * rx
-        return F.when(F.col("_t3").isNotNull(), (top + (low - top) * ry).cast("int")).otherwise(F.col(f"_t0.{c}"))
+        return F.when(F.col(f"_t3.{c}").isNotNull(), (top + (low - top) * ry).cast("int")).otherwise(F.col(f"_t0.{c}"))
 
     return t.select("image_id", "point_id", *[value(c).alias(c) for c in channels(df.columns)])
 
@@ -159,15 +180,17 @@ def cubic_weights(t: Column) -> list[Column]:
 
 
 def sample_cubic(df: DataFrame, points: DataFrame, low: int = 0, high: int = 255) -> DataFrame:
-    """Bicubic values, clamped and truncated; near the border the pixel one up and one left, and null where there is none."""
+    """Bicubic values, clamped and truncated; near the border the pixel one up and one left, and null where there is none. Equal points give one row."""
     whole = lambda c: F.col(c).cast("int") - 1
-    asked = points.withColumns({"_sy": whole("py"), "_sx": whole("px")}).where("px is not null and py is not null")
+    asked = points.distinct().withColumns({"_sy": whole("py"), "_sx": whole("px")})
     t = _taps(df, asked, [(dy, dx) for dy in range(4) for dx in range(4)], "left")
-    wx, wy = cubic_weights(F.col("px") - F.col("_sx")), cubic_weights(F.col("py") - F.col("_sy"))
+    # Columns of their own: each is used several times below.
+    t = t.withColumns({f"_w{axis}{k}": w for axis in "xy" for k, w in enumerate(cubic_weights(F.col(f"p{axis}") - F.col(f"_s{axis}")))})
+    wx, wy = ([F.col(f"_w{axis}{k}") for k in range(4)] for axis in "xy")
 
     def value(c: str) -> Column:
         rows = [sum((F.col(f"_t{4 * k + j}.{c}") * wx[j] for j in range(1, 4)), F.col(f"_t{4 * k}.{c}") * wx[0]) for k in range(4)]
         v = sum((wy[k] * rows[k] for k in range(1, 4)), wy[0] * rows[0])
-        return F.when(F.col("_t0").isNotNull() & F.col("_t15").isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v)).cast("int")).otherwise(F.col(f"_t0.{c}"))
+        return F.when(F.col(f"_t0.{c}").isNotNull() & F.col(f"_t15.{c}").isNotNull(), F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), v)).cast("int")).otherwise(F.col(f"_t0.{c}"))
 
     return t.select("image_id", "point_id", *[value(c).alias(c) for c in channels(df.columns)])
