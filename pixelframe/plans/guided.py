@@ -7,8 +7,10 @@ the choice among nine candidates is a row expression without a shuffle. All arit
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from ..scratch import ship_code
 _KEY = ["image_id"]
 OFFSETS = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
 PAIRS = [(i, j) for i in range(9) for j in range(i + 1, 9)]
+#: Pixels that a refinement fits and returns at once.
+STEP = 1 << 14
 
 
 def sizes(large: DataFrame, ratio: float) -> DataFrame:
@@ -170,30 +174,35 @@ def inverse_index(plan: DataFrame) -> DataFrame:
 
 
 class _Image:
-    """One image while its plan is refined: the state that regions change one after another."""
+    """One image while its plan is refined: the state that regions change one after another. Cells follow from places, and a pair is kept as two places in the neighbourhood."""
 
     def __init__(self, large: np.ndarray, ratio: float):
         self.h, self.w, _ = large.shape
-        self.large = large.reshape(-1, 3).astype(np.float64)
+        self.large = large.reshape(-1, 3)
         self.dh, self.dw = int(self.h * ratio + 0.5) + 1, int(self.w * ratio + 0.5) + 1
         if min(self.dh, self.dw) < 3:
             raise ValueError("the small image needs three rows and columns at least")
         from_ = lambda n, size: np.minimum(((np.arange(n) + 0.5) / ratio + 0.5).astype(np.int64), size - 1)
         self.source = (from_(self.dh, self.h)[:, None] * self.w + from_(self.dw, self.w)[None, :]).ravel()
         inside = lambda n, d: np.clip((np.arange(n) * ratio + 0.5).astype(np.int64), 1, d - 2)
-        self.cell = (inside(self.h, self.dh)[:, None] * self.dw + inside(self.w, self.dw)[None, :]).ravel()
-        self.small = self.large[self.source].copy()
+        self.cy, self.cx = inside(self.h, self.dh), inside(self.w, self.dw)
+        self.small = self.large[self.source].astype(np.float64)
         self.offsets = np.array([dy * self.dw + dx for dy, dx in OFFSETS])
         n = self.h * self.w
-        self.idx, self.weight, self.err = np.zeros((n, 2), np.int64), np.zeros(n), np.zeros(n, np.int64)
-        self.fit(np.arange(n))
+        self.pair, self.weight = np.zeros((n, 2), np.int8), np.zeros(n)
+        self.err = np.zeros(n, np.int32 if self.large.dtype.itemsize <= 2 else np.int64)
+        for at in range(0, n, STEP):
+            self.fit(np.arange(at, min(n, at + STEP)))
+
+    def cell(self, p: np.ndarray) -> np.ndarray:
+        return self.cy[p // self.w] * self.dw + self.cx[p % self.w]
 
     def fit(self, p: np.ndarray) -> None:
         """Choose pair, proportion and error of the pixels p afresh."""
-        for at in range(0, len(p), 1 << 16):
-            own = p[at : at + (1 << 16)]
-            near = self.small[self.cell[own][:, None] + self.offsets]  # pixel, candidate, channel
-            c = self.large[own][:, None, :]
+        for at in range(0, len(p), STEP):
+            own = p[at : at + STEP]
+            near = self.small[self.cell(own)[:, None] + self.offsets]  # pixel, candidate, channel
+            c = self.large[own].astype(np.float64)[:, None, :]
             sq = (c - near) ** 2
             d = np.sqrt(sq[..., 0] + sq[..., 1] + sq[..., 2] + 1e-3)
             i = d.argmin(axis=1)
@@ -202,22 +211,38 @@ class _Image:
             e = np.abs(near + w[..., None] * (near[k, i][:, None, :] - near) - c)
             e = e[..., 0] + e[..., 1] + e[..., 2]
             j = e.argmin(axis=1)
-            self.idx[own] = np.stack((self.cell[own] + self.offsets[i], self.cell[own] + self.offsets[j]), axis=1)
+            self.pair[own] = np.stack((i, j), axis=1)
             self.weight[own], self.err[own] = w[k, j], (e[k, j] / 3).astype(np.int64)
 
     def refine(self, least_error: int, least_size: int, rounds: int) -> None:
-        from ..operators.connectivity import EIGHT, _label_grid
-
-        first, last = np.full(self.dh * self.dw, -1), np.full(self.dh * self.dw, -1)
-        order = np.arange(self.h * self.w)
-        last[self.cell] = order
-        first[self.cell[::-1]] = order[::-1]
+        from ..operators.connectivity import EIGHT, forest
+
+        def ends(cells: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+            """First and last place of each cell along an axis, -1 if it has none."""
+            first, last = np.full(d, -1), np.full(d, -1)
+            order = np.arange(len(cells))
+            last[cells] = order
+            first[cells[::-1]] = order[::-1]
+            return first, last
+
+        (fy, ly), (fx, lx) = ends(self.cy, self.dh), ends(self.cx, self.dw)
+        some = (fy[:, None] >= 0) & (fx[None, :] >= 0)
+        first, last = (np.where(some, y[:, None] * self.w + x[None, :], -1).ravel() for y, x in ((fy, fx), (ly, lx)))
         ring = [o for k, o in enumerate(self.offsets) if k != 4]
         for _ in range(rounds):
-            mask = (self.err >= least_error).reshape(self.h, self.w)
-            root = _label_grid(mask[None].astype(np.int64), mask, EIGHT, lambda a, b: (a == b).all(axis=0)).ravel()
-            on = np.flatnonzero(mask.ravel())
-            regions, where, size = np.unique(root[on], return_inverse=True, return_counts=True)
+            on = np.flatnonzero(self.err >= least_error)
+            if not len(on):
+                break
+            links = []
+            for dy, dx in EIGHT:
+                x = on % self.w + dx
+                there = on + (dy * self.w + dx)
+                at = np.searchsorted(on, there)
+                meets = np.flatnonzero((x >= 0) & (x < self.w) & (there >= 0) & (on[np.minimum(at, len(on) - 1)] == there))
+                links.append((meets, at[meets]))
+            root = on[forest(len(on), *(np.concatenate(v) for v in zip(*links, strict=True)))]
+            del links
+            regions, where, size = np.unique(root, return_inverse=True, return_counts=True)
             error = np.bincount(where, self.err[on], len(regions))
             members = [on[where == k] for k in range(len(regions))] if len(regions) < 64 else np.split(on[np.argsort(where, kind="stable")], np.cumsum(size)[:-1])
             for k in sorted((k for k in range(len(regions)) if size[k] > least_size), key=lambda k: (-error[k], regions[k])):
@@ -225,7 +250,7 @@ class _Image:
 
     def _region(self, pixels: np.ndarray, first: np.ndarray, last: np.ndarray, ring: list[int]) -> None:
         """Take each cell's worst pixel as its small pixel, fit the surroundings again, and undo it all if the error has grown."""
-        cells = self.cell[pixels]
+        cells = self.cell(pixels)
         _, where = np.unique(cells, return_index=True)
         own = cells[np.sort(where)]  # in order of first appearance
         saved_source = self.source[own].copy()
@@ -233,8 +258,8 @@ class _Image:
         _, take = np.unique(cells[worst], return_index=True)
         chosen = pixels[worst[take]]
         chosen = chosen[self.err[chosen] > 0]
-        self.source[self.cell[chosen]] = chosen
-        self.small[self.cell[chosen]] = self.large[chosen]
+        self.source[self.cell(chosen)] = chosen
+        self.small[self.cell(chosen)] = self.large[chosen]
         seen = set(own.tolist())
         grown = own.tolist()
         for q in own.tolist():
@@ -251,10 +276,10 @@ class _Image:
         p = np.concatenate(blocks)
         p = p[p < self.h * self.w]
         p = np.unique(p)
-        saved = self.idx[p].copy(), self.weight[p].copy(), self.err[p].copy()
+        saved = self.pair[p].copy(), self.weight[p].copy(), self.err[p].copy()
         self.fit(p)
         if self.err[p].sum() > saved[2].sum():
-            self.idx[p], self.weight[p], self.err[p] = saved
+            self.pair[p], self.weight[p], self.err[p] = saved
             self.source[own] = saved_source
             self.small[own] = self.large[saved_source]
 
@@ -263,19 +288,50 @@ def fit_refined(large: DataFrame, ratio: float, least_error: int = 30, least_siz
     """A fitted and refined plan: (image_id, y, x, pixel_id, q, idx0, idx1, w, err, source), where source is the large pixel that small pixel pixel_id is taken from, null beyond the small image.
 
     Regions of large error are fitted anew one after another, each seeing what the ones before it have changed: an
-    image is one task and must fit in its memory, at some 300 bytes a pixel. Parallelism is over images."""
+    image is one task and must fit in its memory, at some 30 bytes a pixel of 8 bits a channel and 80 a pixel of large
+    error. Pixels come and go in batches. Parallelism is over images."""
     ship_code(large.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        im = _Image(pdf[["c0", "c1", "c2"]].to_numpy().reshape(h, w, 3), ratio)
-        im.refine(least_error, least_size, rounds)
-        n = h * w
-        source = pd.array([int(s) for s in im.source[:n]] + [None] * max(0, n - len(im.source)), dtype="Int64")
-        return pd.DataFrame({"image_id": pdf["image_id"].to_numpy(), "y": pdf["y"].to_numpy(), "x": pdf["x"].to_numpy(), "pixel_id": np.arange(n), "q": im.cell, "idx0": im.idx[:, 0], "idx1": im.idx[:, 1], "w": im.weight, "err": im.err.astype(np.int32), "source": source})
-
-    return large.select(*PLACE, "c0", "c1", "c2").groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, pixel_id long, q long, idx0 long, idx1 long, w double, err int, source long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _refined(batches, ratio, least_error, least_size, rounds)
+
+    return large.select(*PLACE, "c0", "c1", "c2").groupBy("image_id").applyInArrow(run, "image_id long, y int, x int, pixel_id long, q long, idx0 long, idx1 long, w double, err int, source long")
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> tuple[int | None, np.ndarray]:
+    """(image_id, pixels) of one image, in the smallest type that holds its channels; pixels with a null are not numbers."""
+    held, image_id, h, w = [], None, 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        image_id = batch.column(0)[0].as_py()
+        y, x, *cs = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(1, 6))
+        h, w = max(h, int(y.max()) + 1), max(w, int(x.max()) + 1)
+        c = np.stack(cs, axis=1)
+        if c.dtype.kind == "i":
+            c = c.astype(np.result_type(np.min_scalar_type(c.min()), np.min_scalar_type(c.max())))
+        held.append((y.copy(), x.copy(), c))
+    if sum(len(y) for y, _, _ in held) != h * w:
+        raise ValueError(f"image {image_id} lacks pixels or has some twice")
+    large = np.zeros((h, w, 3), np.result_type(*{c.dtype for _, _, c in held}))
+    while held:
+        y, x, c = held.pop()
+        large[y, x] = c
+    return image_id, large
+
+
+def _refined(batches: Iterator[pa.RecordBatch], ratio: float, least_error: int, least_size: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    image_id, large = _placed(batches)
+    im = _Image(large, ratio)
+    im.refine(least_error, least_size, rounds)
+    names = ["image_id", "y", "x", "pixel_id", "q", "idx0", "idx1", "w", "err", "source"]
+    n, known = im.h * im.w, len(im.source)
+    for at in range(0, n, STEP):
+        p = np.arange(at, min(n, at + STEP))
+        q = im.cell(p)
+        idx = q[:, None] + im.offsets[im.pair[p]]
+        source = pa.array(im.source[np.minimum(p, known - 1)], mask=p >= known)
+        yield pa.RecordBatch.from_arrays([pa.array([image_id] * len(p), pa.int64()), pa.array((p // im.w).astype(np.int32)), pa.array((p % im.w).astype(np.int32)), pa.array(p), pa.array(q), pa.array(np.ascontiguousarray(idx[:, 0])), pa.array(np.ascontiguousarray(idx[:, 1])), pa.array(im.weight[p]), pa.array(im.err[p].astype(np.int32)), source], names)
 
 
 def refined_index(plan: DataFrame, width: int) -> DataFrame:
