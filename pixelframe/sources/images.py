@@ -22,6 +22,29 @@ FRAME_SCHEMA = T.StructType([T.StructField("set_id", T.StringType()), T.StructFi
 VIDEO = ("avi", "mp4", "mov", "mkv", "wmv", "mpg")
 
 
+#: What a batch of frames is to Arrow.
+_IMAGE = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+_FRAME = pa.schema([("set_id", pa.string()), ("frame", pa.int32()), ("name", pa.string()), ("delay", pa.int32()), ("image", _IMAGE)])
+Batches = Iterator[pa.RecordBatch]
+
+
+def _made(build: Callable, step: Callable[[Batches], Batches], schema) -> DataFrame:
+    """build(step, schema), a frame that remembers how it is made, for _then()."""
+    out = build(step, schema)
+    out._chain = build, step  # type: ignore[attr-defined]
+    return out
+
+
+def _then(df: DataFrame, step: Callable[[Batches], Batches], schema) -> DataFrame:
+    """A further step on the batches of df, in the Python worker that makes them if df comes straight from one: a task then has one worker however many steps there are, and images pass one by one."""
+    build, before = getattr(df, "_chain", (df.mapInArrow, None))
+    return _made(build, step if before is None else lambda batches: step(before(batches)), schema)
+
+
+def _one_frame(set_id: str, frame: int, name: str, delay: int, image: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"set_id": set_id, "frame": frame, "name": name, "delay": delay, "image": image}], schema=_FRAME)
+
+
 def packed(origin: str | None, image: np.ndarray) -> dict:
     h, w, n = image.shape
     return {"origin": origin, "height": h, "width": w, "nChannels": n, "mode": MODES[n], "data": np.ascontiguousarray(image, np.uint8).tobytes()}
@@ -66,7 +89,7 @@ def order_names(files: DataFrame) -> DataFrame:
 def read_images(spark: SparkSession, path: str, n_channels: int | None = None, set_id: str = "set") -> DataFrame:
     """Frames (FRAME_SCHEMA) of all image files at path (a folder, a glob or a file), decoded on the executors. n_channels forces a channel count.
 
-    Files' places and numbers of frames are found first, so that no image goes through a shuffle to be numbered."""
+    Files' places and numbers of frames are found first, so that no decoded image goes through a shuffle to be numbered."""
     ship_code(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -78,17 +101,16 @@ def read_images(spark: SparkSession, path: str, n_channels: int | None = None, s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                name = batch.column(0)[k].as_py()
-                frames = decode(name, batch.column(1)[k].as_py())
-                rows = [{"path": name, "sub": i, "delay": d, "image": packed(name, force_channels(im, n_channels))} for i, (d, im) in enumerate(frames)]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("sub", pa.int32()), ("delay", pa.int32()), ("image", pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())]))]))
+                path, content, name, first = (c[k].as_py() for c in batch.columns)
+                for i, (d, im) in enumerate(decode(path, content)):
+                    yield _one_frame(set_id, first + i, name, d, packed(path, force_channels(im, n_channels)))
 
-    decoded = files.mapInArrow(run, T.StructType([T.StructField("path", T.StringType()), T.StructField("sub", T.IntegerType()), T.StructField("delay", T.IntegerType()), T.StructField("image", IMAGE_SCHEMA)]))
     counted = files.mapInArrow(count, "path string, frames long")
     order = order_names(counted.withColumn("name", file_name(F.col("path"))))
     order = numbered(order, ["place"], "first", "frames").select("path", "name", "first")
-    joined = decoded.join(order, "path")
-    return joined.select(F.lit(set_id).alias("set_id"), (F.col("first") + F.col("sub")).cast("int").alias("frame"), "name", "delay", "image")
+    out = _then(files.join(order, "path").select("path", "content", "name", "first"), run, FRAME_SCHEMA)
+    out._n_channels = n_channels  # type: ignore[attr-defined]
+    return out
 
 
 def force_channels(image: np.ndarray, n: int | None) -> np.ndarray:
@@ -147,18 +169,18 @@ def explode(frames: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                im = array_of(batch.column(1)[k].as_py())
+                im = array_of(batch.column("image")[k].as_py())
                 h, w, n = im.shape
                 if n > count:
                     raise ValueError(f"an image has {n} channels, not {count}")
                 y, x = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(w))
                 flat = im.reshape(-1, n).astype(np.int32)
-                cols = [pa.array(np.full(h * w, batch.column(0)[k].as_py(), np.int64)), pa.array(y), pa.array(x), *(pa.array(np.ascontiguousarray(flat[:, c])) for c in range(n))]
+                cols = [pa.array(np.full(h * w, batch.column("frame")[k].as_py(), np.int64)), pa.array(y), pa.array(x), *(pa.array(np.ascontiguousarray(flat[:, c])) for c in range(n))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    count = frames.agg(F.max("image.nChannels")).first()[0] or 1
+    count = getattr(frames, "_n_channels", None) or frames.agg(F.max("image.nChannels")).first()[0] or 1
     names = [*PLACE, *[f"c{c}" for c in range(count)]]
-    return frames.select(F.col("frame").cast("long").alias("image_id"), "image").mapInArrow(run, "image_id long, y int, x int" + "".join(f", c{c} int" for c in range(count)))
+    return _then(frames, run, "image_id long, y int, x int" + "".join(f", c{c} int" for c in range(count)))
 
 
 def pack(pixels: DataFrame, set_id: str = "packed") -> DataFrame:
@@ -166,14 +188,27 @@ def pack(pixels: DataFrame, set_id: str = "packed") -> DataFrame:
     ship_code(pixels.sparkSession)
     cs = channels(pixels.columns)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, k, h, w = [], 0, 0, 0
+        for batch in batches:
+            k = batch.column(0)[0].as_py()
+            y, x, *values = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 3 + len(cs)))
+            h, w = max(h, int(y.max()) + 1), max(w, int(x.max()) + 1)
+            held.append((y.copy(), x.copy(), np.stack(values, axis=1).astype(np.uint8)))
         im = np.zeros((h, w, len(cs)), np.uint8)
-        im[pdf["y"], pdf["x"]] = pdf[cs].to_numpy()
-        k = int(pdf["image_id"].iloc[0])
-        return pd.DataFrame([(set_id, k, f"{k:03d}", 0, packed(None, im))], columns=["set_id", "frame", "name", "delay", "image"])
+        for y, x, values in held:
+            im[y, x] = values
+        yield _one_frame(set_id, k, f"{k:03d}", 0, packed(None, im))
+
+    def build(step: Callable[[Batches], Batches], schema) -> DataFrame:
+        def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from step(batches)
 
-    return pixels.select(*PLACE, *cs).groupBy("image_id").applyInPandas(run, FRAME_SCHEMA)
+        return pixels.select(*PLACE, *cs).groupBy("image_id").applyInArrow(one, schema)
+
+    out = _made(build, run, FRAME_SCHEMA)
+    out._n_channels = len(cs)  # type: ignore[attr-defined]
+    return out
 
 
 def encode(frames: DataFrame, form: str) -> DataFrame:
@@ -183,22 +218,25 @@ def encode(frames: DataFrame, form: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            body = [write(array_of(v)) for v in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(body, pa.binary())], ["frame", "content"])
+            for k in range(batch.num_rows):
+                body = write(array_of(batch.column("image")[k].as_py()))
+                yield pa.RecordBatch.from_arrays([batch.column("frame").slice(k, 1), pa.array([body], pa.binary())], ["frame", "content"])
 
-    return frames.select("frame", "image").mapInArrow(run, "frame int, content binary")
+    return _then(frames, run, "frame int, content binary")
 
 
 def decode_column(contents: DataFrame, set_id: str = "decoded") -> DataFrame:
     """(frame, content) to packed frames: those of a file are numbered from the file's own number."""
     ship_code(contents.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(set_id, int(k) + j, f"{int(k) + j:03d}", d, packed(None, im)) for k, body in zip(batch["frame"], batch["content"], strict=True) for j, (d, im) in enumerate(decode(str(k), bytes(body)))]
-            yield pd.DataFrame(rows, columns=["set_id", "frame", "name", "delay", "image"])
+            for k in range(batch.num_rows):
+                frame = batch.column("frame")[k].as_py()
+                for j, (d, im) in enumerate(decode(str(frame), batch.column("content")[k].as_py())):
+                    yield _one_frame(set_id, frame + j, f"{frame + j:03d}", d, packed(None, im))
 
-    return contents.select("frame", "content").mapInPandas(run, FRAME_SCHEMA)
+    return _then(contents, run, FRAME_SCHEMA)
 
 
 def encode_gif(pixels: DataFrame, palette: list[tuple[int, int, int]], delay: int = 10, transparent: tuple[int, int, int] | None = None) -> DataFrame:
@@ -232,7 +270,7 @@ def write_files(contents: DataFrame, folder: str, ext: str, stem: str = "img") -
         where.create_dir(top, recursive=True)
         for batch in batches:
             rows = []
-            for k, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for k, body in zip(batch.column("frame").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 name = f"{stem}{k}.{ext}"
                 with where.open_output_stream(tmp := f"{top}/_{name}.{uuid.uuid4().hex}") as out:
                     out.write(body)
@@ -241,4 +279,4 @@ def write_files(contents: DataFrame, folder: str, ext: str, stem: str = "img") -
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["path", "size"])
 
-    return contents.select("frame", "content").mapInArrow(run, "path string, size long")
+    return _then(contents, run, "path string, size long")
